@@ -189,3 +189,43 @@ def text_bytes(column) -> list[bytes]:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+# --- vectors that every task adds to ----------------------------------------------------------------------
+
+CHUNKS = 16
+
+
+def vector_rows(vectors: dict[str, np.ndarray]):
+    """A task's vectors in pieces, for summed()."""
+    import pyarrow as pa
+
+    for name, v in vectors.items():
+        for i, piece in enumerate(np.array_split(v.astype(np.float64, copy=False), CHUNKS)):
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([i], pa.int32()), pa.array([piece.tobytes()])], names=["name", "piece", "data"])
+
+
+VECTORS = "name string, piece int, data binary"
+
+
+def _add(batches_):
+    import pyarrow as pa
+
+    sums: dict[tuple, np.ndarray] = {}
+    for batch in batches_:
+        for name, piece, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            v = np.frombuffer(data, np.float64)
+            if (name, piece) in sums:
+                sums[name, piece] += v
+            else:
+                sums[name, piece] = v.copy()
+    for (name, piece), v in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([piece], pa.int32()), pa.array([v.tobytes()])], names=["name", "piece", "data"])
+
+
+def summed(df: DataFrame) -> dict[str, np.ndarray]:
+    """The sums of the tasks' vectors. What is shuffled grows with the tasks; what comes back is one vector a name."""
+    out: dict[str, dict[int, np.ndarray]] = {}
+    for name, piece, data in df.repartition(CHUNKS, "name", "piece").mapInArrow(_add, VECTORS).collect():
+        out.setdefault(name, {})[piece] = np.frombuffer(bytes(data), np.float64)
+    return {name: np.concatenate([v[i] for i in sorted(v)]) for name, v in out.items()}

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import exact_dedup, media, mixing, packing, sharding
-from foliant.llm.common import batches, documents
+from foliant.llm import exact_dedup, lm_scoring, media, mixing, packing, preferences, quality, sharding
+from foliant.llm.common import documents
 
 SHARDS = [f"shard-{i:03d}" for i in range(128)]
 
@@ -36,8 +36,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, sf_dir))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return rows.select("doc_id", "n_words", "log_weight", "perturbed", "rank", "kept")
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.preference_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op4_media_columns, op5_exact_dedup, op7_mixing, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_lm_scoring, op4_media_columns, op5_exact_dedup, op7_mixing, op8_quality_classifier, op9_chat_formatting, op10_best_fit_packing)}
 
 
 def _sharding_sql() -> str:
@@ -82,5 +95,35 @@ SELECT doc_id, source, size, source_size, target,
 FROM c"""
 
 
+OP9 = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
+c AS (
+  SELECT conv_id, max(i) AS turns, string_agg(role || chr(31) || text || chr(30), '' ORDER BY i) AS content,
+    sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS score,
+    sha256(max(CASE WHEN i = 1 THEN role || chr(31) || text END)) AS opening
+  FROM n GROUP BY conv_id),
+r AS (SELECT *, (row_number() OVER (PARTITION BY opening ORDER BY content, conv_id) - 1) // 2 AS nth FROM c),
+s AS (SELECT *, row_number() OVER (PARTITION BY opening, nth ORDER BY -score, conv_id) AS side, count(*) OVER (PARTITION BY opening, nth) AS sides FROM r),
+p AS (SELECT a.conv_id AS chosen_id, b.conv_id AS rejected_id, a.turns, b.turns AS other FROM s a LEFT JOIN s b ON a.opening = b.opening AND a.nth = b.nth AND b.side = 2 WHERE a.side = 1),
+d AS (
+  SELECT p.chosen_id, min(x.i) AS differ FROM p JOIN n x ON x.conv_id = p.chosen_id LEFT JOIN n y ON y.conv_id = p.rejected_id AND y.i = x.i
+  WHERE p.rejected_id IS NOT NULL AND (y.i IS NULL OR y.role <> x.role OR y.text <> x.text) GROUP BY p.chosen_id),
+q AS (SELECT p.*, CASE WHEN rejected_id IS NULL THEN 1 ELSE coalesce(differ - 1, turns) END AS k FROM p LEFT JOIN d USING (chosen_id)),
+z AS (
+  SELECT conv_id, i, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown, length(role) + 5 AS head FROM n),
+m AS (SELECT q.chosen_id AS id, q.chosen_id, q.k FROM q UNION ALL SELECT q.rejected_id, q.chosen_id, q.k FROM q WHERE rejected_id IS NOT NULL),
+o AS (
+  SELECT m.id, z.i, z.role, z.shown, z.head, z.i > m.k AS after,
+    sum(length(z.shown)) OVER (PARTITION BY m.id, z.i > m.k ORDER BY z.i) - length(z.shown) AS pos
+  FROM m JOIN z ON z.conv_id = m.id),
+f AS (
+  SELECT id, coalesce(string_agg(shown, '' ORDER BY i) FILTER (NOT after), '') AS prompt, coalesce(string_agg(shown, '' ORDER BY i) FILTER (after), '') AS rest,
+    coalesce(string_agg((pos + head)::BIGINT || '-' || (pos + length(shown))::BIGINT, ',' ORDER BY i) FILTER (after AND role = 'assistant'), '') AS mask
+  FROM o GROUP BY id)
+SELECT q.chosen_id, q.rejected_id, q.k::INTEGER AS n_prompt_turns, a.prompt, a.rest AS chosen, b.rest AS rejected, a.mask AS chosen_mask, b.mask AS rejected_mask
+FROM q JOIN f a ON a.id = q.chosen_id LEFT JOIN f b ON b.id = q.rejected_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": _sharding_sql(), "op5_exact_dedup": OP5, "op7_mixing": OP7}
+    return {"op1_sharding": _sharding_sql(), "op5_exact_dedup": OP5, "op7_mixing": OP7, "op9_chat_formatting": OP9}
