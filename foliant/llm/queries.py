@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import exact_dedup, lm_scoring, media, mixing, packing, preferences, quality, sharding
+from foliant.llm import exact_dedup, jaccard_join, lm_scoring, media, mixing, packing, preferences, quality, sharding
 from foliant.llm.common import documents
 
 SHARDS = [f"shard-{i:03d}" for i in range(128)]
@@ -28,6 +28,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(documents(spark, sf_dir))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(documents(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "source", "size", "source_size", "target", "taken")
 
@@ -50,7 +54,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_lm_scoring, op4_media_columns, op5_exact_dedup, op7_mixing, op8_quality_classifier, op9_chat_formatting, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_lm_scoring, op4_media_columns, op5_exact_dedup, op6_ngram_jaccard_join, op7_mixing, op8_quality_classifier, op9_chat_formatting, op10_best_fit_packing)}
 
 
 def _sharding_sql() -> str:
