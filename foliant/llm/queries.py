@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import exact_dedup, jaccard_join, lm_scoring, media, mixing, packing, preferences, quality, sharding
+from foliant.llm import exact_dedup, jaccard_join, lm_scoring, media, mixing, packing, preferences, quality, sharding, suffix_dedup
 from foliant.llm.common import documents
 
 SHARDS = [f"shard-{i:03d}" for i in range(128)]
@@ -19,6 +19,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "source", "slot", "shard")
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(documents(spark, sf_dir))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = media.media_columns(documents(spark, sf_dir))
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature", "shard", "offset", "width", "height")
@@ -54,7 +58,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_lm_scoring, op4_media_columns, op5_exact_dedup, op6_ngram_jaccard_join, op7_mixing, op8_quality_classifier, op9_chat_formatting, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_lm_scoring, op3_suffix_array_dedup, op4_media_columns, op5_exact_dedup, op6_ngram_jaccard_join, op7_mixing, op8_quality_classifier, op9_chat_formatting, op10_best_fit_packing)}
 
 
 def _sharding_sql() -> str:
