@@ -4,16 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import exact_dedup, mixing, packing
+from foliant.llm import exact_dedup, jaccard_join, mixing, packing, quality
 from foliant.llm.common import batches, documents, materialise
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    batches(spark)
+    return quality.kept_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays."""
     batches(spark)
     return exact_dedup.deduplicated(docs)
 
 
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates one document stays."""
+    batches(spark)
+    return jaccard_join.representatives(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix holds them."""
     batches(spark)
@@ -26,7 +38,13 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs)
 
 
-STAGES = [("exact_dedup", dedup_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("exact_dedup", dedup_stage),
+    ("ngram_jaccard_join", jaccard_stage),
+    ("mixing", mixing_stage),
+    ("best_fit_packing", packing_stage),
+]
 
 #: Importance weights, near-duplicate links and token ids are beyond SQL; tests hold the result against brute force.
 ORACLE_SQL = None
