@@ -81,13 +81,13 @@ def _summaries(size: int):
     odd = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, any_rows = np.zeros(SKETCH, np.int32), False
+        counts, any_rows = np.zeros(SKETCH, np.int64), False
         for batch in rows:
             any_rows = True
             sets = shingle_sets(text_bytes(batch.column(1)), size)
             lengths = np.array([len(s) for s in sets], np.int64)
             everything = np.concatenate([*sets, np.empty(0, np.uint64)])
-            counts += np.bincount((everything % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.int32)
+            counts += np.bincount((everything % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
             full = np.flatnonzero(lengths)
             starts = (np.cumsum(lengths) - lengths)[full]
             d1, d2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
@@ -107,12 +107,18 @@ def _summaries(size: int):
     return run
 
 
-def _frequency_classes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch_sums(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SKETCH, np.int64)
     for batch in rows:
-        for data in batch.column(0).to_pylist():
-            total += np.frombuffer(zlib.decompress(data), np.int32)
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sketch"])
+        for data in batch.column(0):
+            total += np.frombuffer(zlib.decompress(data.as_py()), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["sketch"])
+
+
+def _frequency_classes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _sketch_sums(rows):
+        total = np.frombuffer(zlib.decompress(batch.column(0)[0].as_py()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(255, np.floor(4 * np.log2(total + 1))).astype(np.uint8).tobytes()], pa.binary())], names=["classes"])
 
 
 def _needed(n: np.ndarray, m: np.ndarray, t: tuple[int, int]) -> np.ndarray:
@@ -325,10 +331,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
     summary = materialise(rows.mapInArrow(_summaries(size), SUMMARY), "jaccard-summary")
     sketches = summary.filter("sketch is not null").select("sketch")
-    # two levels: what one task adds up stays a few hundred vectors
-    added = sketches.repartition(16).mapInArrow(_frequency_classes, "sketch binary")
-    total = sum((np.frombuffer(bytes(r[0]), np.int64) for r in added.toLocalIterator()), np.zeros(SKETCH, np.int64))
-    frequency = spark.sparkContext.broadcast(np.minimum(255, np.floor(4 * np.log2(total + 1))).astype(np.uint8).tobytes())  # a byte a bucket
+    # two levels of sums, each of one vector a task; the driver gets a byte a bucket
+    added = sketches.repartition(16).mapInArrow(_sketch_sums, "sketch binary").repartition(1).mapInArrow(_frequency_classes, "classes binary")
+    frequency = spark.sparkContext.broadcast(bytes(added.first()[0]))
     full = summary.filter("sketch is null and n > 0")
     digest = ["n", "d1", "d2"]
     nodes = full.groupBy(*digest).agg(F.min("id").alias("node"), F.first("bands").alias("bands"))
