@@ -4,9 +4,10 @@ A document's set is its distinct 5-word shingles as 64-bit hashes. Two documents
 similarity reaches the threshold; the result is every document's component under links.
 
 1. Equal sets are one node (a digest of 128 bits and the size), so copies never form pairs.
-2. A cheap pass proposes likely links: nodes that agree in a pair of minimum hashes are proposed to the
-   smallest of them. Proposals are verified on whole sets, and verified links give first components. This only
-   saves work: what it misses, the next step finds.
+2. A cheap pass proposes likely links: nodes that agree in a pair of minimum hashes are sorted by their other
+   minimum hashes, and each is proposed to a few neighbours of another component. Proposals are verified on whole
+   sets, and verified links join components; a few turns leave large groups of near copies in one component. This
+   only saves work: what it misses, the next step finds.
 3. Exact pass. Tokens have one global order, from rare to frequent by a count sketch over all documents, so
    frequent lines and passages come last. If two sets link, the first n - ceil(t n) + k tokens of both share at
    least k, so only those prefixes are indexed. An index list is kept in blocks by size class and component,
@@ -35,13 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import LOWER, groups_of_texts, materialise, mix, sized_join, text_bytes, word_hashes
+from foliant.llm.common import LOWER, groups_of_texts, materialise, mix, ranked, sized_join, text_bytes, word_hashes
 from foliant.llm.components import components
 
 SHINGLE, THRESHOLD = 5, (80, 100)
 SKETCH = 1 << 21
 BANDS, ROWS = 10, 2
 
+#: Turns of the proposing pass, with the neighbours that each node is proposed to in each band.
+LAGS = (2, 4)
+
 #: Pairs of one index list block that are held at once.
 PAIRS = 2_000_000
 
@@ -64,10 +68,10 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
             if high - low >= size:
                 out.append(np.unique(rolled[low : high - size + 1]))
             elif high > low:
-                h = np.uint64(high - low)
+                h = np.array([high - low], np.uint64)
                 for w in words[low:high]:
                     h = (h ^ w) * np.uint64(0x9E3779B97F4A7C15)
-                out.append(mix(np.array([h], np.uint64)))
+                out.append(mix(h))
             else:
                 out.append(np.empty(0, np.uint64))
     return out
@@ -126,9 +130,16 @@ def _needed(n: np.ndarray, m: np.ndarray, t: tuple[int, int]) -> np.ndarray:
     return -(-t[0] * (n + m) // (t[0] + t[1]))
 
 
-def shared(n, t: tuple[int, int] = THRESHOLD):
-    """Prefix tokens that linked sets must share: more for larger sets."""
-    return np.minimum(1 + n // 20, -(-t[0] * n // t[1]))
+def prefix(n, t: tuple[int, int] = THRESHOLD):
+    """Tokens of a set of size n that are indexed: n less the least overlap, and a twentieth more, which sets must share."""
+    least = -(-t[0] * n // t[1])
+    return n - least + np.minimum(1 + n // 20, least)
+
+
+def shared(n, m, t: tuple[int, int] = THRESHOLD):
+    """Prefix tokens that linked sets of sizes n and m share at least. Of the common tokens, those after the prefix
+    that ends first in the global order are at most what that set has after its prefix."""
+    return np.maximum(1, _needed(n, m, t) - np.maximum(n - prefix(n, t), m - prefix(m, t)))
 
 
 POSTINGS = "part int, data binary"
@@ -147,7 +158,7 @@ def _postings(frequency, size: int, parts: int, t: tuple[int, int]):
                 n = len(s)
                 if not n:
                     continue
-                k = min(n, n - -(-t[0] * n // t[1]) + int(shared(n, t)))
+                k = int(prefix(n, t))
                 order = np.lexsort((s, rank[(s % np.uint64(SKETCH)).astype(np.int64)]))[:k]
                 tokens.append(s[order])
                 docs.append(np.full(k, i, np.uint32))
@@ -224,7 +235,7 @@ def _list_pairs(token, ids, comp, n, pos, t: tuple[int, int]) -> Iterator[np.nda
             ok = (comp[i] != comp[j]) & (need <= np.minimum(n[i], n[j])) & (left >= need)
             i, j = i[ok], j[ok]
             if len(i):
-                yield np.stack([ids[i], ids[j], comp[i], comp[j], np.minimum(shared(n[i], t), shared(n[j], t)), np.ones(len(i), np.int64)])
+                yield np.stack([ids[i], ids[j], comp[i], comp[j], shared(n[i], n[j], t), np.ones(len(i), np.int64)])
 
 
 def _fold(pieces: list[np.ndarray]) -> np.ndarray:
@@ -325,6 +336,32 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE, t: tuple[i
     return rows.select("a", "block", "id", "text").mapInArrow(_verify(size, t), VERIFIED)
 
 
+def _proposals(nodes: DataFrame, turn: int, lags: int) -> DataFrame:
+    """(a, b, ca, cb): nodes that agree in a band and are near each other when sorted by their other bands, which puts
+    the most alike side by side; only nodes of different components."""
+    key = F.concat(F.slice("bands", 1 + turn * BANDS // 2, BANDS), F.slice("bands", 1, BANDS))
+    banded = nodes.select("node", "comp", key.alias("key"), F.posexplode("bands").alias("band", "hash"))
+    shared_ = banded.groupBy("band", "hash").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
+    banded = banded.join(shared_.select("band", "hash"), ["band", "hash"], "left_semi")
+    at = ranked(banded, [F.col(c) for c in ("band", "hash", "key", "node")], "rank", "jaccard-banded")
+    at = materialise(at.select("band", "hash", "node", "comp", "rank"), "jaccard-sorted")
+    ahead = at.select("band", "hash", F.col("node").alias("other"), F.col("comp").alias("other_comp"), F.explode(F.sequence(F.col("rank") + 1, F.col("rank") + lags)).alias("rank"))
+    near = at.join(ahead, ["band", "hash", "rank"]).filter("comp != other_comp")
+    if turn == 0:  # and to the smallest of the band
+        least = at.groupBy("band", "hash").agg(F.min(F.struct("node", "comp")).alias("m"))
+        hubs = at.join(least, ["band", "hash"]).select("node", "comp", F.col("m.node").alias("other"), F.col("m.comp").alias("other_comp"))
+        near = near.select(hubs.columns).unionByName(hubs).filter("comp != other_comp")
+    first = F.col("node") < F.col("other")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return near.select(pick("node", "other").alias("a"), pick("other", "node").alias("b"), pick("comp", "other_comp").alias("ca"), pick("other_comp", "comp").alias("cb")).distinct()
+
+
+def _merged(place: DataFrame, links: DataFrame, tag: str) -> DataFrame:
+    """place (id, comp) after links (a, b) between components."""
+    merged = components(links).select(F.col("id").alias("comp"), "component")
+    return materialise(place.join(merged, "comp", "left").select("id", F.coalesce("component", "comp").alias("comp")), tag)
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, t: tuple[int, int] = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id) a row of df."""
     spark = df.sparkSession
@@ -340,12 +377,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     nodes = materialise(nodes, "jaccard-nodes")
 
     # likely links, verified
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
-    least = banded.groupBy("band", "hash").agg(F.min("node").alias("a"), F.count("*").alias("rows")).filter("rows > 1")
-    proposed = banded.join(least, ["band", "hash"]).filter("node != a").select("a", F.col("node").alias("b")).distinct()
-    first_links = materialise(verified(materialise(proposed.withColumn("c", F.col("a")), "jaccard-proposed"), rows, size, t), "jaccard-links")
-    first = components(first_links.select("a", "b"))
-    place = materialise(nodes.select("node").distinct().join(first, F.col("node") == F.col("id"), "left").select(F.col("node").alias("id"), F.coalesce("component", "node").alias("comp")), "jaccard-first")
+    place = materialise(nodes.select(F.col("node").alias("id"), F.col("node").alias("comp")), "jaccard-place")
+    for turn, lags in enumerate(LAGS):
+        asked = materialise(_proposals(nodes.join(place, F.col("node") == F.col("id")), turn, lags), "jaccard-proposed")
+        links = verified(asked.withColumn("c", F.col("a")), rows, size, t).select("a", "b")
+        at = asked.join(links, ["a", "b"], "left_semi")
+        place = _merged(place, at.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "jaccard-place")
 
     # every other link
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -356,8 +393,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     pairs = materialise(pairs.select("a", "b", "ca", "cb"), "jaccard-candidates")
     more = materialise(verified(pairs.select("a", "b", F.col("cb").alias("c")), rows, size, t), "jaccard-more")
     joined = more.join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    merged = components(joined).select(F.col("id").alias("comp"), F.col("component"))
-    final = materialise(place.join(merged, "comp", "left").select(F.col("id").alias("node"), F.coalesce("component", "comp").alias("component_id")), "jaccard-final")
+    final = _merged(place, joined, "jaccard-final").select(F.col("id").alias("node"), F.col("comp").alias("component_id"))
 
     of_node = nodes.select(*digest, "node").join(final, "node").drop("node")
     linked = full.select("id", *digest).join(of_node, digest).select("id", "n", "component_id")
