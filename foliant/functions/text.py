@@ -74,5 +74,5 @@ def version_marker(name: Column) -> Column:
 def version_stem(name: Column) -> Column:
     bare = F.regexp_replace(F.lower(name), r"\.[a-z0-9]{1,5}$", "")
     bare = F.regexp_replace(bare, r"(?:^|[^a-z])(?:v|ver|version|rev)[ ._-]?[0-9]+", " ")
-    bare = F.regexp_replace(bare, r"\([0-9]+\)|\b(?:final|draft|copy|copie|brouillon|definitif)\b|[0-9]{4}-[0-9]{2}-[0-9]{2}", " ")
+    bare = F.regexp_replace(bare, r"\([0-9]+\)|(?:^|(?<=[^a-z]))(?:final|draft|copy|copie|brouillon|definitif)(?=[^a-z]|$)|[0-9]{4}-[0-9]{2}-[0-9]{2}", " ")
     return F.trim(F.regexp_replace(bare, r"[\s._-]+", " "))
