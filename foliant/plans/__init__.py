@@ -1 +1,3 @@
-"""Registered queries, each with its SQL where SQL expresses it."""
+"""Registered queries."""
+
+from foliant.plans import intelligence, queries  # noqa: F401  each registers its queries

@@ -1,12 +1,14 @@
 import datetime
+import hashlib
 import io
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.functions import scores
 from foliant.functions import text as t
-from foliant.operators import graph, relational, search
+from foliant.operators import families, graph, relational, search
 from foliant.sources import markup
 from foliant.streaming import events
 
@@ -76,3 +78,39 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [(r.n, r.total) for r in spark.sql("select n, total from counts").collect()] == [(2, 3.0)]
+
+
+def test_scores(spark):
+    outcome = lambda x: one(spark, scores.error_outcome(F.lit(x)))
+    assert [outcome(x) for x in ("Timed out", "file is encrypted", "password", "bad xref", "missing", "odd", None)] == ["TIMEOUT", "ENCRYPTED", "PASSWORD_REQUIRED", "MALFORMED", "UNSUPPORTED_DEPENDENCY", "PERMANENT_ERROR", "PERMANENT_ERROR"]
+    assert [one(spark, scores.backoff_seconds(F.lit(n))) for n in (0, 1, 2, 3, 9)] == [60, 60, 300, 1500, 3600]
+    assert one(spark, scores.retryable(F.lit("TIMEOUT"), F.lit(2))) and not one(spark, scores.retryable(F.lit("TIMEOUT"), F.lit(3)))
+    assert one(spark, scores.iso_week(F.to_date(F.lit("2024-12-30")))) == "2025-W01"
+    assert one(spark, scores.amounts(F.lit("15.000,00 EUR and 2000 Euros"))) == ["15.000,00 EUR", "2000 Euros"]
+
+
+def test_simhash(spark):
+    runs = ["a b c d", "b c d e", "c d e f"]
+    votes = [0] * 64
+    for r in runs:
+        value = int.from_bytes(hashlib.blake2b(r.encode(), digest_size=8).digest(), "big")
+        votes = [v + (1 if value >> i & 1 else -1) for i, v in enumerate(votes)]
+    want = sum(1 << i for i, v in enumerate(votes) if v > 0)
+    words = F.split(F.lit("a b c d e f"), " ")
+    assert one(spark, scores.shingles(words)) == runs
+    got = one(spark, scores.simhash64(scores.shingles(words)))
+    assert got % (1 << 64) == want
+    assert one(spark, scores.band_keys(F.lit(got))) == [want >> 16 * i & 0xFFFF for i in range(4)]
+    assert one(spark, scores.hamming(F.lit(got), F.lit(got ^ 5))) == 2
+
+
+def test_version_families(spark):
+    rows = spark.createDataFrame([(1, "d", "plan_v2.txt"), (2, "d", "plan_v1.txt"), (3, "e", "plan_v1.txt"), (4, "d", "memo.txt"), (5, "d", "memo (1).txt")], "id long, dir string, name string")
+    got = {r["id"]: (r["confidence"], r["rank"], r["is_primary"]) for r in families.version_families(rows, "dir", "name", "id").collect()}
+    assert got == {2: ("HIGH", 0, False), 1: ("HIGH", 1, True), 4: ("UNORDERED", 0, False), 5: ("UNORDERED", 1, True)}
+
+
+def test_kmeans(spark):
+    rows = spark.createDataFrame([(i, [float(i % 2) * 9 + i / 100, 1.0]) for i in range(20)], "id long, v array<float>")
+    got = {r["id"]: r["cluster"] for r in families.kmeans(rows, "id", "v", 2).collect()}
+    assert len({got[i] for i in range(0, 20, 2)}) == len({got[i] for i in range(1, 20, 2)}) == 1 and got[0] != got[1]
