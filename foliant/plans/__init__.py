@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from foliant.plans import intelligence, queries  # noqa: F401  each registers its queries
+from foliant.plans import annotations, intelligence, queries  # noqa: F401  each registers its queries
