@@ -1,15 +1,16 @@
 """Language-model scoring by masked pseudo-likelihood.
 
 A bidirectional window network predicts every token from the two tokens on either side: a vector for each
-neighbour and place is looked up, their sum goes through tanh and a softmax layer. It is written and trained
-in numpy. A document's score is the sum over its tokens of log P(token | neighbours).
+neighbour and place is looked up, their sum goes through tanh and a two-level softmax. It is written and trained
+in numpy. A document's score is the sum over its words of log P(word | neighbours).
 
-1. Vocabulary: hashed word counts over all documents. The most frequent buckets are tokens of their own; all
-   others share classes by hash, so every word is a token and none is unknown.
+1. Vocabulary: a table of every distinct word of the corpus, by a 64-bit hash, with its count; it grows with the
+   input and stays distributed. The most frequent words are tokens of their own; all others share classes by hash.
 2. Training: every task starts from the same seeded network and takes one pass of Adagrad steps over all
-   windows of its documents; networks are averaged, weighted by tokens. Counts and networks are summed in a
-   shuffle, so what is gathered grows with the input, and the driver receives one vector of each.
-3. Scoring reads all documents again with the trained network, which has a fixed size.
+   windows of its documents; networks are averaged, weighted by tokens, and the driver receives one vector.
+3. Scoring reads all documents again. The network gives P(class | neighbours), the counts of the whole corpus give
+   P(word | class), so the probabilities of all words of the vocabulary sum to 1. Counts of the commonest words are
+   held by every task, in a table of bounded size; the other occurrences meet theirs in a shuffled join.
 
 Defined cases: places before the first and after the last token hold a boundary token; a null or empty text
 has no tokens and score 0; repeated rows are scored alike; an empty table gives an empty table.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import LOWER, VECTORS, groups_of_texts, summed, text_bytes, vector_rows, word_hashes
+from foliant.llm.common import LOWER, VECTORS, groups_of_texts, materialise, summed, text_bytes, vector_rows, word_hashes
 
 SKETCH = 1 << 18
 FREQUENT, CLASSES, WIDTH = 192, 64, 16
@@ -32,30 +33,99 @@ BATCH = 4096
 PLACES = (-2, -1, 1, 2)
 
 
-def _words(texts: list[bytes], slots: int) -> tuple[np.ndarray, np.ndarray]:
-    hashes, first = word_hashes([t.translate(LOWER) for t in texts])
-    return (hashes % np.uint64(slots)).astype(np.int64), first
-
+#: Distinct words that a counting task holds.
+HELD = 1 << 16
 
-def _count(slots: int):
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(slots)
-        for batch in rows:
-            texts = text_bytes(batch.column(0))
-            for run_ in groups_of_texts(texts):
-                counts += np.bincount(_words([texts[i] for i in run_], slots)[0], minlength=slots)
-        if counts.any():
-            yield from vector_rows({"words": counts})
 
-    return run
-
-
-def vocabulary(counts: np.ndarray, frequent: int = FREQUENT, classes: int = CLASSES) -> np.ndarray:
-    """Token of each bucket: its own for the most frequent (ties by bucket), else a class by hash."""
-    token = (frequent + np.arange(len(counts)) * 2654435761 % (1 << 32) % classes).astype(np.int16)
-    top = np.lexsort((np.arange(len(counts)), -counts))[:frequent]
-    token[top] = np.arange(len(top))
-    return token
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    hashes, first = word_hashes([t.translate(LOWER) for t in texts])
+    return hashes.view(np.int64), first
+
+
+COUNTS = "word long, n long"
+
+
+def _fold(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    words, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+    return words, np.bincount(at, weights=np.concatenate([n for _, n in held]), minlength=len(words)).astype(np.int64)
+
+
+def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    emit = lambda pair: pa.RecordBatch.from_arrays([pa.array(x) for x in pair], names=["word", "n"])
+    for batch in rows:
+        texts = text_bytes(batch.column(0))
+        for run_ in groups_of_texts(texts):
+            held.append(np.unique(_words([texts[i] for i in run_])[0], return_counts=True))
+            size += len(held[-1][0])
+            if size > 2 * HELD:
+                held = [_fold(held)]
+                size = len(held[0][0])
+                if size > HELD:
+                    yield emit(held.pop())
+                    size = 0
+    if held:
+        yield emit(_fold(held))
+
+
+class Vocabulary:
+    """What tasks know of the words: `own`, the words that are tokens of their own, in order of their tokens, and
+    `words`, sorted, with `within`, their log P(word | class). `totals`: occurrences of each class."""
+
+    def __init__(self, own: np.ndarray, words: np.ndarray, counts: np.ndarray, totals: np.ndarray, frequent: int):
+        self.frequent, self.classes = frequent, len(totals)
+        self.rank = np.argsort(own)
+        self.own = own[self.rank]
+        order = np.argsort(words)
+        self.words = words[order]
+        self.log_totals = np.concatenate([np.zeros(frequent), np.log(np.maximum(totals, 1))])
+        token = self.tokens(self.words)
+        self.within = np.where(token < frequent, 0.0, np.log(counts[order]) - self.log_totals[token])
+
+    def tokens(self, words: np.ndarray) -> np.ndarray:
+        """Token of each word: its own, else its class."""
+        token = self.frequent + words % self.classes
+        is_own, at = _found(self.own, words)
+        token[is_own] = self.rank[at[is_own]]
+        return token
+
+    def log_within(self, words: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log P(word | class) of each word, and which words' counts are not held: of theirs, log count is missing."""
+        held, at = _found(self.words, words)
+        rare = ~held & (token >= self.frequent)
+        out = np.zeros(len(words))
+        out[held] = self.within[at[held]]
+        out[rare] = -self.log_totals[token[rare]]
+        return out, rare
+
+
+def _found(table: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words are in a sorted table, and where."""
+    if not len(table):
+        return np.zeros(len(words), bool), np.zeros(len(words), np.int64)
+    at = np.minimum(np.searchsorted(table, words), len(table) - 1)
+    return table[at] == words, at
+
+
+def vocabulary(counts: DataFrame, held: int, frequent: int = FREQUENT, classes: int = CLASSES) -> tuple[Vocabulary, bool]:
+    """From (word, n): the most frequent words (ties by hash) have tokens of their own. Counts are held down to the
+    level that at most `held` words reach; also says if words are left below it."""
+    level = F.floor(F.log2("n") * 4)
+    pair = lambda t: [t.column(c).to_numpy() for c in ("word", "n")]
+    own, own_n = pair(counts.orderBy(F.col("n").desc(), "word").limit(frequent).toArrow())
+    totals = np.zeros(classes, np.int64)
+    for c, n in counts.groupBy(F.pmod("word", F.lit(classes))).agg(F.sum("n")).collect():
+        totals[c] = n
+    np.subtract.at(totals, own % classes, own_n)
+    least, reached, more = None, 0, False
+    for at, n in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # a row a level
+        reached += n
+        if reached > held:
+            more = True
+            break
+        least = at
+    words, n = (np.empty(0, np.int64),) * 2 if least is None else pair(counts.filter(level >= least).toArrow())
+    return Vocabulary(own, words, n, totals, frequent), more
 
 
 class Network:
@@ -133,15 +203,15 @@ def windows(tokens: np.ndarray, first: np.ndarray, boundary: int) -> np.ndarray:
     return out
 
 
-def _train(token, tokens: int):
+def _train(vocabulary_, tokens: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, net, seen = np.frombuffer(token.value, np.int16), Network(tokens), 0
+        known, net, seen = vocabulary_.value, Network(tokens), 0
         squares = [np.full(s, 1e-4, np.float32) for s in net.shapes]
         for batch in rows:
             texts = text_bytes(batch.column(0))
             for run_ in groups_of_texts(texts):
-                buckets, first = _words([texts[i] for i in run_], len(table))
-                centre = table[buckets]
+                words, first = _words([texts[i] for i in run_])
+                centre = known.tokens(words)
                 net.train(centre, windows(centre, first, tokens), squares)
                 seen += len(centre)
         if seen:
@@ -150,33 +220,47 @@ def _train(token, tokens: int):
     return run
 
 
-SCORES = "doc_id long, n_tokens long, log_likelihood double"
+SCORES = "doc_id long, n_tokens long, log_likelihood double, rare array<long>"
+
 
+def _score(vocabulary_, tokens: int, weights):
+    """`rare`: the words whose log count is still to be added."""
 
-def _score(token, tokens: int, weights):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, net = np.frombuffer(token.value, np.int16), Network(tokens).load(np.frombuffer(weights.value, np.float64))
+        known, net = vocabulary_.value, Network(tokens).load(np.frombuffer(weights.value, np.float64))
         for batch in rows:
             texts = text_bytes(batch.column(1))
             total, count = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+            rare: list = []
             for run_ in groups_of_texts(texts):
-                buckets, first = _words([texts[i] for i in run_], len(table))
-                centre = table[buckets]
-                sums = np.concatenate([[0.0], np.cumsum(net.log_likelihood(centre, windows(centre, first, tokens)))])
+                words, first = _words([texts[i] for i in run_])
+                centre = known.tokens(words)
+                within, missing = known.log_within(words, centre)
+                sums = np.concatenate([[0.0], np.cumsum(net.log_likelihood(centre, windows(centre, first, tokens)) + within)])
                 total[run_], count[run_] = sums[first[1:]] - sums[first[:-1]], np.diff(first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(total)], names=[c.split()[0] for c in SCORES.split(", ")])
+                edges = np.concatenate([[0], np.cumsum(missing)])[first]
+                left = words[missing]
+                rare += [left[low:high] for low, high in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.array(total), pa.array(rare, pa.list_(pa.int64()))], names=[c.split()[0] for c in SCORES.split(", ")])
 
     return run
 
 
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", sketch: int = SKETCH, frequent: int = FREQUENT, classes: int = CLASSES) -> DataFrame:
-    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) a row; the mean is null where there is no token."""
+    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) a row; the mean is null where there is no token.
+    sketch: the most words whose counts every task holds."""
     sc = df.sparkSession.sparkContext
     texts = df.select(F.col(text).alias("text"))
-    counts = summed(texts.mapInArrow(_count(sketch), VECTORS)).get("words", np.zeros(sketch))
-    token = sc.broadcast(vocabulary(counts, frequent, classes).tobytes())
-    tokens = frequent + classes
-    trained = summed(texts.mapInArrow(_train(token, tokens), VECTORS))
+    counts = materialise(texts.mapInArrow(_count, COUNTS).groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
+    known, more = vocabulary(counts, sketch, frequent, classes)
+    known, tokens = sc.broadcast(known), frequent + classes
+    trained = summed(texts.mapInArrow(_train(known, tokens), VECTORS))
     weights = trained["network"] / trained["seen"][0] if trained else Network(tokens).flat()
-    scored = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_score(token, tokens, sc.broadcast(weights.tobytes())), SCORES)
+    scored = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_score(known, tokens, sc.broadcast(weights.tobytes())), SCORES)
+    if more:
+        scored = materialise(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+        rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").count()
+        logs = rare.join(counts.hint("merge"), "word").groupBy("row").agg(F.sum(F.col("count") * F.log("n")).alias("logs"))
+        scored = scored.join(logs.hint("merge"), "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("logs", F.lit(0.0)))
+    scored = scored.select("doc_id", "n_tokens", "log_likelihood")
     return scored.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

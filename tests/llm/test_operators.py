@@ -280,6 +280,20 @@ def test_lm_scoring(spark, docs, none):
     assert scores[240] < min(v for k, v in scores.items() if k < 240)
 
 
+def test_lm_words_have_their_own_probability(spark):
+    """Words of one class differ by their counts in the corpus, whether these are held by every task or joined."""
+    common, rare = " ".join(["ca"] * 3 + ["cb"] * 3), " ".join(f"r{i}" for i in range(6))
+    rows = [(i, "top " * 400) for i in range(3)] + [(i, common) for i in range(10, 50)] + [(90, rare)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [{r.doc_id: r.log_likelihood for r in lm_scoring.score(df, sketch=k, frequent=1, classes=1).collect()} for k in (1 << 18, 3, 0)]
+    assert got[0][10] - got[0][90] == pytest.approx(6 * np.log(120))  # ca and cb occur 120 times, the others once
+    assert all(g == pytest.approx(got[0], abs=1e-6) for g in got)
+    tokens = lm_scoring.Vocabulary(np.array([7]), np.array([7, 8, 9, 10]), np.array([9, 4, 3, 1]), np.array([5, 3]), 1)
+    words = np.array([8, 9, 10])
+    within, missing = tokens.log_within(words, tokens.tokens(words))
+    assert not missing.any() and np.allclose(np.exp(within), [4 / 5, 1, 1 / 5])
+
+
 def test_lm_gradient_and_probabilities():
     net = lm_scoring.Network(6, 3)
     centre, around = np.array([1, 2, 5]), lm_scoring.windows(np.array([1, 2, 5]), np.array([0, 3]), 6)
