@@ -18,9 +18,13 @@ similarity reaches the threshold; the result is every document's component under
    component in a row. The overlap with a partner y is known; for the next partner x, only the differences x - y
    and y - x are looked up, and if their sizes already decide the pair, nothing is.
 
-Links between nodes of one component change no component, so only cross-component pairs are ever formed. A list
+Links between nodes of one component change no component, so steps 2 to 4 form cross-component pairs only. A list
 is held by one task; the global order keeps lists short, and copies and likely links have been folded before.
 
+5. Every link lies within a final component. A component is cut into blocks by hash, and every pair of blocks is
+   compared set by set in one task, which counts common tokens. links() returns the linked pairs of nodes, and
+   near_duplicates() a document's number of links, summed without a row a pair.
+
 Defined cases: null and empty texts, and texts without words, have an empty set and link with nothing; a text
 with fewer words than a shingle has is one shingle; rows that repeat an identifier share its links; extra columns
 do not matter; an empty table gives an empty table.
@@ -52,6 +56,9 @@ PAIRS = 2_000_000
 #: Partners that one verification block holds.
 BLOCK = 256
 
+#: Tokens whose common use by a pair of blocks is counted at once.
+TOKENS = 4096
+
 NO_ID = -(1 << 63)
 
 
@@ -77,6 +84,7 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
+DIGEST = ["n", "d1", "d2"]
 SUMMARY = "id long, n long, d1 long, d2 long, bands array<long>, sketch binary"
 
 
@@ -336,6 +344,71 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE, t: tuple[i
     return rows.select("a", "block", "id", "text").mapInArrow(_verify(size, t), VERIFIED)
 
 
+WITHIN = {"pairs": VERIFIED, "sums": "id long, links long"}
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Common tokens of each two sets."""
+    tokens, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    uses = np.bincount(column, minlength=len(tokens))
+    place = np.cumsum(uses > 1) - 1
+    row, column = row[uses[column] > 1], place[column[uses[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for low in range(0, int((uses > 1).sum()), TOKENS):
+        at = slice(*np.searchsorted(column, [low, low + TOKENS]))
+        has = np.zeros((len(sets), TOKENS), np.float32)
+        has[row[at], column[at] - low] = 1
+        out += (has @ has.T).astype(np.int64)
+    return out
+
+
+def _within(size: int, t: tuple[int, int], kind: str):
+    """Rows come sorted by component and pair of blocks; a pair of different blocks is compared across only."""
+    names = [c.split()[0] for c in WITHIN[kind].split(", ")]
+
+    def of(key: tuple, held: list[tuple]) -> pa.RecordBatch:
+        ids, block, weight = (np.array([h[i] for h in held], np.int64) for i in range(3))
+        n = np.array([len(h[3]) for h in held], np.int64)
+        common = _overlaps([h[3] for h in held])
+        linked = common >= _needed(n[:, None], n[None, :], t)
+        linked &= (block[:, None] != block[None, :]) if key[1] != key[2] else ~np.eye(len(held), dtype=bool)
+        if kind == "sums":
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array((linked * weight[None, :]).sum(1))], names=names)
+        a, b = np.nonzero(linked & (ids[:, None] < ids[None, :]))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a], ids[b], common[a, b], n[a], n[b])], names=names)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in rows:
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            for *k, i, block, weight, s in zip(*columns, shingle_sets(text_bytes(batch.column(6)), size), strict=True):
+                if held and k != key:
+                    yield of(key, held)
+                    held = []
+                key = k
+                if not held or held[-1][0] != i:  # a row that is repeated is one
+                    held.append((i, block, weight, s))
+        if held:
+            yield of(key, held)
+
+    return run
+
+
+def _links(place: DataFrame, texts: DataFrame, kind: str, size: int, t: tuple[int, int]) -> DataFrame:
+    """Links within components. place: (id, comp, weight), materialised; texts: (id, text)."""
+    parts = int(place.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = place.groupBy("comp").agg(F.count("*").alias("m")).filter("m > 1").select("comp", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    members = place.join(counts, "comp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = sized_join(texts, materialise(members, "jaccard-members"), "id", "inner")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "block", "weight", "text")
+    rows = rows.repartition(parts, "comp", "x", "y").sortWithinPartitions("comp", "x", "y", "id")
+    return rows.mapInArrow(_within(size, t, kind), WITHIN[kind])
+
+
 def _proposals(nodes: DataFrame, turn: int, lags: int) -> DataFrame:
     """(a, b, ca, cb): nodes that agree in a band and are near each other when sorted by their other bands, which puts
     the most alike side by side; only nodes of different components."""
@@ -362,8 +435,8 @@ def _merged(place: DataFrame, links: DataFrame, tag: str) -> DataFrame:
     return materialise(place.join(merged, "comp", "left").select("id", F.coalesce("component", "comp").alias("comp")), tag)
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, t: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, component_id) a row of df."""
+def _components(df: DataFrame, key: str, text: str, size: int, t: tuple[int, int]) -> tuple[DataFrame, ...]:
+    """(id, text) and summaries of df's rows, nodes, and the components (id, comp) of nodes under all links."""
     spark = df.sparkSession
     rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
     summary = materialise(rows.mapInArrow(_summaries(size), SUMMARY), "jaccard-summary")
@@ -372,8 +445,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     added = sketches.repartition(16).mapInArrow(_sketch_sums, "sketch binary").repartition(1).mapInArrow(_frequency_classes, "classes binary")
     frequency = spark.sparkContext.broadcast(bytes(added.first()[0]))
     full = summary.filter("sketch is null and n > 0")
-    digest = ["n", "d1", "d2"]
-    nodes = full.groupBy(*digest).agg(F.min("id").alias("node"), F.first("bands").alias("bands"))
+    nodes = full.groupBy(*DIGEST).agg(F.min("id").alias("node"), F.count("*").alias("weight"), F.first("bands").alias("bands"))
     nodes = materialise(nodes, "jaccard-nodes")
 
     # likely links, verified
@@ -393,18 +465,38 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     pairs = materialise(pairs.select("a", "b", "ca", "cb"), "jaccard-candidates")
     more = materialise(verified(pairs.select("a", "b", F.col("cb").alias("c")), rows, size, t), "jaccard-more")
     joined = more.join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    final = _merged(place, joined, "jaccard-final").select(F.col("id").alias("node"), F.col("comp").alias("component_id"))
+    return rows, summary, nodes, _merged(place, joined, "jaccard-final")
+
+
+def _weighted(place: DataFrame, nodes: DataFrame) -> DataFrame:
+    return materialise(place.join(nodes.select(F.col("node").alias("id"), "weight"), "id"), "jaccard-weighted")
+
+
+def links(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, t: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """(a, b, overlap, n_a, n_b): every link between different sets; a < b are the smallest identifiers of theirs."""
+    rows, _, nodes, place = _components(df, key, text, size, t)
+    return _links(_weighted(place, nodes), rows, "pairs", size, t)
+
 
-    of_node = nodes.select(*digest, "node").join(final, "node").drop("node")
-    linked = full.select("id", *digest).join(of_node, digest).select("id", "n", "component_id")
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, t: tuple[int, int] = THRESHOLD, count_links: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) a row of df; n_links: other rows that its row links to, copies with them."""
+    rows, summary, nodes, place = _components(df, key, text, size, t)
+    final = place.select(F.col("id").alias("node"), F.col("comp").alias("component_id"))
+    of_node = nodes.select(*DIGEST, "node", "weight").join(final, "node")
+    columns = ["id", "n", "component_id"]
     empty = summary.filter("sketch is null and n = 0").select("id", "n", F.col("id").alias("component_id"))
+    if count_links:
+        sums = materialise(_links(_weighted(place, nodes), rows, "sums", size, t).groupBy("id").agg(F.sum("links").alias("links")), "jaccard-links")
+        of_node = of_node.join(sums.withColumnRenamed("id", "node"), "node", "left").withColumn("n_links", F.col("weight") - 1 + F.coalesce("links", F.lit(0)))
+        columns, empty = [*columns, "n_links"], empty.withColumn("n_links", F.lit(0).cast("long"))
+    linked = summary.filter("sketch is null and n > 0").select("id", *DIGEST).join(of_node, DIGEST).select(columns)
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return linked.unionByName(empty).select(back("id").alias("doc_id"), F.col("n").alias("n_shingles"), back("component_id").alias("component_id"))
+    return linked.unionByName(empty).select(back("id").alias("doc_id"), F.col("n").alias("n_shingles"), back("component_id").alias("component_id"), *columns[3:])
 
 
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with one document of each component, the one with the smallest identifier; documents without words stay."""
     names = df.columns
-    kept = near_duplicates(df, key, text).filter("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).distinct()
+    kept = near_duplicates(df, key, text, count_links=False).filter("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).distinct()
     rows = sized_join(df.withColumn("_id", F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))), materialise(kept, "jaccard-kept"), "_id", "inner")
     return rows.select(*[F.col(f"`{c}`") for c in names])

@@ -119,6 +119,26 @@ def test_jaccard_random_sets(spark):
     assert got == part
 
 
+def test_jaccard_links(spark, docs, monkeypatch):
+    """Every link between different sets, those inside components too, and the links of every document."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    rng = random.Random(10)
+    base = [f"w{i}" for i in range(70)]
+    rows = []
+    for i in range(40):
+        words = list(base)
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(70)] = f"x{rng.randrange(50)}"
+        rows.append((i, " ".join(words)))
+    rows += [(40, rows[3][1]), (41, "quite another text of some words"), (42, None)]
+    sets = {i: frozenset(tuple((t or "").split()[k : k + 5]) for k in range(len((t or "").split()) - 4)) for i, t in rows}
+    want = {(a, b) for a in sets for b in sets if a != b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    least = {s: min(i for i in sets if sets[i] == s) for s in sets.values()}
+    assert {(r.a, r.b): r.overlap for r in jaccard_join.links(df).collect()} == {(a, b): len(sets[a] & sets[b]) for a, b in want if a < b and sets[a] != sets[b] and least[sets[a]] == a and least[sets[b]] == b}
+    assert {r.doc_id: r.n_links for r in jaccard_join.near_duplicates(df).collect()} == {i: sum(a == i for a, _ in want) for i in sets}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (50, 200)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
