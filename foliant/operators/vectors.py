@@ -1,8 +1,12 @@
-"""Vector search, centroids, cohesion, agreement of clusterings, and candidate pairs by random hyperplanes."""
+"""Vector search, centroids, cohesion, agreement of clusterings, bands by random hyperplanes, and exact similar pairs."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,13 +67,58 @@ def hyperplane_bands(df: DataFrame, id_: str, vector: str, dims: int, bits: int
     return df.select(id_, F.posexplode(F.array(*keys)).alias("band", "bucket"))
 
 
+#: Vectors of one block, on average at most; rows of a block that are compared at once.
+BLOCK, ROWS = 4096, 512
+
+
+def _block_pairs(dims: int, threshold: float):
+    """Rows come sorted by pair of blocks. Pairs whose cosine may reach the threshold when rounded, in pieces."""
+
+    def of(key: tuple, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        ids, block = rows.column(2).combine_chunks(), rows.column(3).to_numpy()
+        v = rows.column(4).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+        norms = np.sqrt((v * v).sum(1))
+        left, right = np.flatnonzero(block == key[0]), np.flatnonzero(block == key[1])
+        for low in range(0, len(left), ROWS):
+            i = left[low : low + ROWS]
+            lengths = norms[i][:, None] * norms[right][None, :]
+            near = np.divide(v[i] @ v[right].T, lengths, out=np.zeros(lengths.shape), where=lengths != 0)
+            ok = near >= threshold - 1e-5
+            if key[0] == key[1]:
+                ok &= i[:, None] < right[None, :]
+            a, b = np.nonzero(ok)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i[a])), ids.take(pa.array(right[b])), pa.array(near[a, b])], names=["a", "b", "similarity"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            x, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((np.diff(x) != 0) | (np.diff(y) != 0)) + 1
+            for low, high in zip([0, *cuts], [*cuts, len(x)], strict=True):
+                if low == high:
+                    continue
+                if held and key != (x[low], y[low]):
+                    yield from of(key, held)
+                    held = []
+                key = (x[low], y[low])
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield from of(key, held)
+
+    return run
+
+
 def similar_pairs(df: DataFrame, id_: str, vector: str, dims: int, threshold: float) -> DataFrame:
-    """Pairs that share a band and whose cosine reaches the threshold."""
-    banded = hyperplane_bands(df, id_, vector, dims)
-    a = banded.withColumnRenamed(id_, "a")
-    b = banded.withColumnRenamed(id_, "b")
-    pairs = a.join(b, ["band", "bucket"]).filter("a < b").select("a", "b").distinct()
-    x = df.select(F.col(id_).alias("a"), F.col(vector).alias("x"))
-    y = df.select(F.col(id_).alias("b"), F.col(vector).alias("y"))
-    both = pairs.join(x, "a").join(y, "b")
-    return both.select("a", "b", F.round(cosine(F.col("x"), F.col("y")), 5).alias("similarity")).filter(F.col("similarity") >= threshold)
+    """Every pair whose cosine, rounded to five places, reaches the threshold. Blocks of vectors are dealt by hash and each
+    two blocks meet in one task, so all pairs are compared: the work grows with the square of the rows."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.col(id_).alias("id"), F.col(vector).alias("v")).filter(F.size("v") == dims)
+    blocks = max(math.ceil(rows.count() / BLOCK), math.ceil(math.sqrt(4 * parts)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "block", "v")
+    kind = dict(rows.dtypes)["id"]
+    pairs = rows.repartition(parts, "x", "y").sortWithinPartitions("x", "y").mapInArrow(_block_pairs(dims, threshold), f"a {kind}, b {kind}, similarity double")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("similarity", 5).alias("similarity"))
+    return pairs.filter((F.col("a") < F.col("b")) & (F.col("similarity") >= threshold))

@@ -3,12 +3,13 @@ import hashlib
 import io
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import scores
 from foliant.functions import text as t
-from foliant.operators import families, graph, relational, search
+from foliant.operators import families, graph, relational, search, vectors
 from foliant.sources import markup
 from foliant.streaming import events
 
@@ -114,3 +115,18 @@ def test_kmeans(spark):
     rows = spark.createDataFrame([(i, [float(i % 2) * 9 + i / 100, 1.0]) for i in range(20)], "id long, v array<float>")
     got = {r["id"]: r["cluster"] for r in families.kmeans(rows, "id", "v", 2).collect()}
     assert len({got[i] for i in range(0, 20, 2)}) == len({got[i] for i in range(1, 20, 2)}) == 1 and got[0] != got[1]
+
+
+def test_similar_pairs_are_all_found(spark, monkeypatch):
+    """Pairs around the threshold, against brute force."""
+    monkeypatch.setattr(vectors, "BLOCK", 20)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(30, 64))
+    v = np.concatenate([base, np.repeat(base, 5, axis=0) + rng.normal(0, 0.45, (150, 64)), np.zeros((2, 64))]).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<float>")
+    x = v.astype(float)
+    lengths = np.maximum(np.linalg.norm(x, axis=1), 1e-30)
+    near = (x @ x.T / lengths[:, None] / lengths).round(5)
+    want = {(a, b): near[a, b] for a in range(len(v)) for b in range(a + 1, len(v)) if near[a, b] >= 0.9}
+    got = {(r.a, r.b): r.similarity for r in vectors.similar_pairs(df, "id", "v", 64, 0.9).collect()}
+    assert len(want) > 50 and got == pytest.approx(want)
