@@ -41,15 +41,28 @@ def components(edges: DataFrame, steps: int = 50) -> DataFrame:
     return labels
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int = 20) -> DataFrame:
-    """(id, rank) over directed edges (a, b); what dangling nodes hold is spread evenly."""
-    edges = _cut(edges.select("a", "b").distinct())
-    nodes = _cut(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct())
-    n = nodes.count()
-    out = _cut(edges.groupBy("a").agg(F.count("*").alias("out")))
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(1, n)))
+def _step(df: DataFrame) -> DataFrame:
+    """_cut for steps that use a table twice: without a shared folder the plan is cut too, or it doubles every step."""
+    return _cut(df) if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
+
+
+def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float = 1e-4) -> DataFrame:
+    """(id, rank) over directed edges (a, b); what dangling nodes hold is spread evenly. Steps end when the ranks
+    change by less than the tolerance in sum; ValueError if they do not within `iterations`."""
+    edges = edges.select("a", "b").distinct()
+    edges = _step(edges.join(edges.groupBy("a").agg(F.count("*").alias("out")), "a"))
+    nodes = edges.select(F.col("a").alias("id"), F.lit(0).alias("loose")).union(edges.select("b", F.lit(1))).groupBy("id").agg(F.min("loose").alias("loose"))
+    nodes = _step(nodes)
+    n, hang = nodes.agg(F.count("*"), F.coalesce(F.sum("loose"), F.lit(0))).first()
+    ranks = _step(nodes.withColumn("rank", F.lit(1.0 / max(1, n))))
+    if not n:
+        return ranks.select("id", "rank")
+    held = hang / n
     for _ in range(iterations):
-        sent = edges.join(ranks, F.col("a") == F.col("id")).join(out, "a").groupBy("b").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        loose = ranks.join(out, F.col("id") == F.col("a"), "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        ranks = _cut(nodes.join(sent, F.col("id") == F.col("b"), "left").select("id", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("got", F.lit(0.0)) + loose / n)).alias("rank")))
-    return ranks
+        sent = edges.join(ranks.select(F.col("id").alias("a"), "rank"), "a").groupBy(F.col("b").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
+        new = F.lit((1 - alpha) / n) + alpha * (F.coalesce("got", F.lit(0.0)) + held / n)
+        ranks = _step(ranks.join(sent, "id", "left").select("id", "loose", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")))
+        moved, held = ranks.agg(F.sum("moved"), F.coalesce(F.sum(F.col("rank") * F.col("loose")), F.lit(0.0))).first()
+        if moved < tolerance:
+            return ranks.select("id", "rank")
+    raise ValueError(f"the ranks still move by {moved} after {iterations} steps")

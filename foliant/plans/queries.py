@@ -396,4 +396,4 @@ def m20_connected_components(spark, d):
 @query()
 def m21_pagerank(spark, d):
     edges = table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"))
-    return graph.pagerank(edges.union(edges.select("b", "a")), iterations=5).select("id", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(edges.union(edges.select("b", "a"))).select("id", F.round("rank", 9).alias("rank"))

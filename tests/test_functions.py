@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foliant.functions import scores
 from foliant.functions import text as t
 from foliant.operators import families, graph, relational, search, vectors
+from foliant.plans.queries import QUERIES
 from foliant.sources import markup
 from foliant.streaming import events
 
@@ -130,3 +131,17 @@ def test_similar_pairs_are_all_found(spark, monkeypatch):
     want = {(a, b): near[a, b] for a in range(len(v)) for b in range(a + 1, len(v)) if near[a, b] >= 0.9}
     got = {(r.a, r.b): r.similarity for r in vectors.similar_pairs(df, "id", "v", 64, 0.9).collect()}
     assert len(want) > 50 and got == pytest.approx(want)
+
+
+def test_pagerank_converges(spark, tmp_path):
+    """The query, on a two-sided graph of unequal sides, against the solution of the linear equations."""
+    rng = np.random.default_rng(3)
+    links = sorted({(int(rng.integers(3)), int(rng.integers(40))) for _ in range(90)})
+    spark.createDataFrame(links, "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    arcs = {(f"s{a}", f"p{b}") for a, b in links}
+    arcs |= {(b, a) for a, b in arcs}
+    ids = sorted({a for a, _ in arcs})
+    m = np.array([[(a, b) in arcs for a in ids] for b in ids], float)
+    want = np.linalg.solve(np.eye(len(ids)) - 0.85 * m / m.sum(0), np.full(len(ids), 0.15 / len(ids)))
+    got = {r.id: r["rank"] for r in QUERIES["m21_pagerank"](spark, str(tmp_path)).collect()}
+    assert sum(abs(got[i] - w) for i, w in zip(ids, want, strict=True)) < 6e-4  # the tolerance times alpha / (1 - alpha)
