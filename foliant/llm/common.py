@@ -98,6 +98,15 @@ def ranked(df: DataFrame, order: list[Column], name: str, tag: str) -> DataFrame
     return dealt.join(starts, "_range").withColumn(name, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
 
 
+def numbered(df: DataFrame, key: str, text: str, whole: bool = False) -> DataFrame:
+    """(doc_id, text, doc): doc is the identifier if it is unique and never null, else a row number that is written down.
+    whole: and the row itself, packed as `row`, so that no column of df can clash."""
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if whole else []))
+    if rows.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        return rows.withColumn("doc", F.col("doc_id"))
+    return materialise(rows.withColumn("doc", F.monotonically_increasing_id()), "numbered")
+
+
 # --- words and hashes over a batch of texts -------------------------------------------------------------
 
 _MASK = (1 << 64) - 1

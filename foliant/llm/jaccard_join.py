@@ -9,11 +9,12 @@ similarity reaches the threshold; the result is every document's component under
    sets, and verified links join components; a few turns leave large groups of near copies in one component. This
    only saves work: what it misses, the next step finds.
 3. Exact pass. Tokens have one global order, from rare to frequent by a count sketch over all documents, so
-   frequent lines and passages come last. If two sets link, the first n - ceil(t n) + k tokens of both share at
-   least k, so only those prefixes are indexed. An index list is kept in blocks by size class and component,
-   with each token's position in its set: a block whose size class is not next to the probing one's, or which is of
-   the same component, is skipped whole, and so are entries whose positions leave too few tokens to reach the
-   overlap. What is left are pairs that share enough prefix tokens.
+   frequent lines and passages come last. Of two sets that link, the first common token in this order has all
+   common tokens at or after its position in either set, so both sets hold at least the needed overlap from there
+   on. Only positions at which that can be are indexed. An index list is kept in blocks by size class and position
+   class; two blocks are compared only if some sizes and positions in their bounds can reach the overlap, all others
+   are skipped whole, as is the probing set's own component inside a block. What is left are pairs whose exact
+   positions reach it.
 4. Verification derives answers from answers: pairs are sorted so that a probing set meets the partners of one
    component in a row. The overlap with a partner y is known; for the next partner x, only the differences x - y
    and y - x are looked up, and if their sizes already decide the pair, nothing is.
@@ -26,8 +27,9 @@ is held by one task; the global order keeps lists short, and copies and likely l
    near_duplicates() a document's number of links, summed without a row a pair.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and link with nothing; a text
-with fewer words than a shingle has is one shingle; rows that repeat an identifier share its links; extra columns
-do not matter; an empty table gives an empty table.
+with fewer words than a shingle has is one shingle; where identifiers are null or repeated, rows are told apart by a
+written row number, so every row has its own text's links; extra columns do not matter, whatever their names; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import LOWER, groups_of_texts, materialise, mix, ranked, sized_join, text_bytes, word_hashes
+from foliant.llm.common import LOWER, groups_of_texts, materialise, mix, numbered, ranked, sized_join, text_bytes, word_hashes
 from foliant.llm.components import components
 
 SHINGLE, THRESHOLD = 5, (80, 100)
@@ -139,15 +141,8 @@ def _needed(n: np.ndarray, m: np.ndarray, t: tuple[int, int]) -> np.ndarray:
 
 
 def prefix(n, t: tuple[int, int] = THRESHOLD):
-    """Tokens of a set of size n that are indexed: n less the least overlap, and a twentieth more, which sets must share."""
-    least = -(-t[0] * n // t[1])
-    return n - least + np.minimum(1 + n // 20, least)
-
-
-def shared(n, m, t: tuple[int, int] = THRESHOLD):
-    """Prefix tokens that linked sets of sizes n and m share at least. Of the common tokens, those after the prefix
-    that ends first in the global order are at most what that set has after its prefix."""
-    return np.maximum(1, _needed(n, m, t) - np.maximum(n - prefix(n, t), m - prefix(m, t)))
+    """Tokens of a set of size n that are indexed: at a later position, fewer than the least overlap are left."""
+    return n - -(-t[0] * n // t[1]) + 1
 
 
 POSTINGS = "part int, data binary"
@@ -206,7 +201,10 @@ def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
     return np.frombuffer(data, "<u4", e, 24 + p), ids[doc], comps[doc], ns[doc], pos.astype(np.int64)
 
 
-CANDIDATES = "a long, b long, ca long, cb long, need long, got long"
+CANDIDATES = "a long, b long, ca long, cb long"
+
+#: Size classes in the ratio of two linked sets' sizes, and position classes a set's length.
+SIZES_A_RATIO, POSITIONS = 4, 32
 
 
 def _spans(starts: np.ndarray, ends: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -224,40 +222,63 @@ def _spans(starts: np.ndarray, ends: np.ndarray, most: int) -> Iterator[tuple[np
         low = high
 
 
+def _reachable(ahead: int, x: int, y: int, t: tuple[int, int]) -> bool:
+    """Whether a set of position class x can link with one that is `ahead` size classes larger, of position class y."""
+    ratio, part = t[1] / t[0], t[0] / (t[0] + t[1])
+    step = ratio ** (1 / SIZES_A_RATIO)
+    high = min(ratio, step ** (ahead + 1), (1 - x / POSITIONS) / part - 1)  # of the second size to the first
+    other = (1 - y / POSITIONS) / part - 1
+    return other > 0 and max(step ** (ahead - 1), 1 / other) <= high + 1e-6
+
+
 def _list_pairs(token, ids, comp, n, pos, t: tuple[int, int]) -> Iterator[np.ndarray]:
-    """Pairs (a, b, ca, cb, need, 1) that the lists of one partition leave, in pieces."""
-    step = np.log(t[1] / t[0])
-    block = np.floor(np.log(n) / step + 1e-9).astype(np.int64)  # linked sets are in one size class or in neighbours
-    order = np.lexsort((n, comp, block, token))
-    token, ids, comp, n, pos, block = (x[order] for x in (token, ids, comp, n, pos, block))
-    key = token.astype(np.int64) << 20 | block  # lists in blocks
-    next_block = np.searchsorted(key, key, side="right")
-    new_run = np.concatenate([[True], (key[1:] != key[:-1]) | (comp[1:] != comp[:-1])])
-    run_ends = np.append(np.flatnonzero(new_run)[1:], len(key))
-    run_end = run_ends[np.cumsum(new_run) - 1]
-    beside, beside_end = np.searchsorted(key, key + 1), np.searchsorted(key, key + 1, side="right")
-    for starts, ends in ((run_end, next_block), (beside, beside_end)):
-        for i, j in _spans(starts, ends, PAIRS):
-            need = _needed(n[i], n[j], t)
-            left = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
-            ok = (comp[i] != comp[j]) & (need <= np.minimum(n[i], n[j])) & (left >= need)
-            i, j = i[ok], j[ok]
-            if len(i):
-                yield np.stack([ids[i], ids[j], comp[i], comp[j], shared(n[i], n[j], t), np.ones(len(i), np.int64)])
+    """Pairs (a, b, ca, cb) that the lists of one partition leave, in pieces."""
+    order = np.lexsort((comp, token))
+    token, comp_ = token[order], comp[order]
+    new = np.append(True, token[1:] != token[:-1])
+    list_ = np.cumsum(new) - 1
+    several = np.zeros(len(new) and list_[-1] + 1, bool)
+    several[list_[1:][~new[1:] & (comp_[1:] != comp_[:-1])]] = True
+    order, list_ = order[several[list_]], list_[several[list_]]
+    if not len(order):
+        return
+    ids, comp, n, pos = (x[order] for x in (ids, comp, n, pos))
+    size = np.floor(np.log(n) * SIZES_A_RATIO / np.log(t[1] / t[0]) + 1e-9).astype(np.int64)
+    place = np.minimum(pos * POSITIONS // n, POSITIONS - 1)
+    comps, group = np.unique(comp, return_inverse=True)
+    sizes, groups = int(size.max()) + SIZES_A_RATIO + 2, len(comps)
+    key = ((list_ * sizes + size) * POSITIONS + place) * groups + group  # lists in blocks, a block by component
+    order = np.argsort(key, kind="stable")
+    key, ids, comp, n, pos, place, group = (x[order] for x in (key, ids, comp, n, pos, place, group))
+    classes = np.unique(place)
+    for x in classes:
+        src = np.flatnonzero(place == x)
+        block = key[src] // groups
+        for ahead in range(SIZES_A_RATIO + 2):
+            for y in classes:
+                if ahead == 0 and y < x or not _reachable(ahead, x, y, t):
+                    continue
+                first = (block + ahead * POSITIONS + (y - x)) * groups
+                after, end = np.searchsorted(key, first + group[src] + 1), np.searchsorted(key, first + groups)
+                ranges = [(after, end)]
+                if ahead or x != y:
+                    ranges.append((np.searchsorted(key, first), np.searchsorted(key, first + group[src])))
+                for starts, ends in ranges:
+                    for i, j in _spans(starts, ends, PAIRS):
+                        i = src[i]
+                        ok = _needed(n[i], n[j], t) <= np.minimum(n[i] - pos[i], n[j] - pos[j])
+                        i, j = i[ok], j[ok]
+                        if len(i):
+                            yield np.stack([ids[i], ids[j], comp[i], comp[j]])
 
 
 def _fold(pieces: list[np.ndarray]) -> np.ndarray:
-    """Equal pairs are one, with their count."""
+    """Equal pairs are one."""
     rows = np.concatenate(pieces, axis=1)
     swap = rows[0] > rows[1]
-    rows[:4, swap] = rows[:4, swap][[1, 0, 3, 2]]
-    order = np.lexsort((rows[1], rows[0]))
-    rows = rows[:, order]
-    new = np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])])
-    starts = np.flatnonzero(new)
-    out = rows[:, starts]
-    out[5] = np.add.reduceat(rows[5], starts)
-    return out
+    rows[:, swap] = rows[:, swap][[1, 0, 3, 2]]
+    rows = rows[:, np.lexsort((rows[1], rows[0]))]
+    return rows[:, np.append(True, (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1]))]
 
 
 def _candidates(t: tuple[int, int]):
@@ -435,10 +456,10 @@ def _merged(place: DataFrame, links: DataFrame, tag: str) -> DataFrame:
     return materialise(place.join(merged, "comp", "left").select("id", F.coalesce("component", "comp").alias("comp")), tag)
 
 
-def _components(df: DataFrame, key: str, text: str, size: int, t: tuple[int, int]) -> tuple[DataFrame, ...]:
-    """(id, text) and summaries of df's rows, nodes, and the components (id, comp) of nodes under all links."""
+def _components(df: DataFrame, size: int, t: tuple[int, int]) -> tuple[DataFrame, ...]:
+    """Summaries of df's rows (id, text), nodes, and the components (id, comp) of nodes under all links."""
     spark = df.sparkSession
-    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
+    rows = df.select("id", "text")
     summary = materialise(rows.mapInArrow(_summaries(size), SUMMARY), "jaccard-summary")
     sketches = summary.filter("sketch is not null").select("sketch")
     # two levels of sums, each of one vector a task; the driver gets a byte a bucket
@@ -460,43 +481,56 @@ def _components(df: DataFrame, key: str, text: str, size: int, t: tuple[int, int
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     indexed = sized_join(rows, place, "id", "inner").select("id", "comp", "text")
     blobs = indexed.mapInArrow(_postings(frequency, size, parts, t), POSTINGS)
-    found = blobs.repartitionByRange(parts, "part").sortWithinPartitions("part").mapInArrow(_candidates(t), CANDIDATES)
-    pairs = found.groupBy("a", "b").agg(F.first("ca").alias("ca"), F.first("cb").alias("cb"), F.max("need").alias("need"), F.sum("got").alias("got")).filter("got >= need")
-    pairs = materialise(pairs.select("a", "b", "ca", "cb"), "jaccard-candidates")
+    found = blobs.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(_candidates(t), CANDIDATES)
+    pairs = materialise(found.distinct(), "jaccard-candidates")
     more = materialise(verified(pairs.select("a", "b", F.col("cb").alias("c")), rows, size, t), "jaccard-more")
     joined = more.join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    return rows, summary, nodes, _merged(place, joined, "jaccard-final")
+    return summary, nodes, _merged(place, joined, "jaccard-final")
 
 
 def _weighted(place: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialise(place.join(nodes.select(F.col("node").alias("id"), "weight"), "id"), "jaccard-weighted")
 
 
+def _numbered(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, text, id)"""
+    return numbered(df, key, text).withColumnRenamed("doc", "id")
+
+
 def links(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, t: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """(a, b, overlap, n_a, n_b): every link between different sets; a < b are the smallest identifiers of theirs."""
-    rows, _, nodes, place = _components(df, key, text, size, t)
-    return _links(_weighted(place, nodes), rows, "pairs", size, t)
+    """(a, b, overlap, n_a, n_b): every link between different sets. a < b stand for their sets: the smallest identifiers,
+    or row numbers where identifiers are null or repeated."""
+    numbers = _numbered(df, key, text)
+    _, nodes, place = _components(numbers, size, t)
+    return _links(_weighted(place, nodes), numbers.select("id", "text"), "pairs", size, t)
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, t: tuple[int, int] = THRESHOLD, count_links: bool = True) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) a row of df; n_links: other rows that its row links to, copies with them."""
-    rows, summary, nodes, place = _components(df, key, text, size, t)
-    final = place.select(F.col("id").alias("node"), F.col("comp").alias("component_id"))
-    of_node = nodes.select(*DIGEST, "node", "weight").join(final, "node")
-    columns = ["id", "n", "component_id"]
-    empty = summary.filter("sketch is null and n = 0").select("id", "n", F.col("id").alias("component_id"))
+def _classes(numbers: DataFrame, size: int, t: tuple[int, int], count_links: bool) -> DataFrame:
+    """(id, n, comp, n_links) a row; comp is null for rows without words."""
+    summary, nodes, place = _components(numbers, size, t)
+    of_node = nodes.select(*DIGEST, "node", "weight").join(place.select(F.col("id").alias("node"), "comp"), "node").withColumn("n_links", F.lit(None).cast("long"))
     if count_links:
-        sums = materialise(_links(_weighted(place, nodes), rows, "sums", size, t).groupBy("id").agg(F.sum("links").alias("links")), "jaccard-links")
+        sums = materialise(_links(_weighted(place, nodes), numbers.select("id", "text"), "sums", size, t).groupBy("id").agg(F.sum("links").alias("links")), "jaccard-links")
         of_node = of_node.join(sums.withColumnRenamed("id", "node"), "node", "left").withColumn("n_links", F.col("weight") - 1 + F.coalesce("links", F.lit(0)))
-        columns, empty = [*columns, "n_links"], empty.withColumn("n_links", F.lit(0).cast("long"))
+    columns = ["id", "n", "comp", "n_links"]
     linked = summary.filter("sketch is null and n > 0").select("id", *DIGEST).join(of_node, DIGEST).select(columns)
-    back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return linked.unionByName(empty).select(back("id").alias("doc_id"), F.col("n").alias("n_shingles"), back("component_id").alias("component_id"), *columns[3:])
+    empty = summary.filter("sketch is null and n = 0").select("id", "n", F.lit(None).cast("long").alias("comp"), F.lit(0).cast("long").alias("n_links"))
+    return materialise(linked.unionByName(empty), "jaccard-classes")
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, t: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) a row of df; n_links: other rows that its row links to, copies with them."""
+    numbers = _numbered(df, key, text)
+    rows = numbers.select("doc_id", "id").join(_classes(numbers, size, t, True), "id")
+    least = materialise(rows.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "jaccard-least")
+    named = sized_join(rows, least, "comp", "left")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "n_links")
 
 
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with one document of each component, the one with the smallest identifier; documents without words stay."""
-    names = df.columns
-    kept = near_duplicates(df, key, text, count_links=False).filter("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).distinct()
-    rows = sized_join(df.withColumn("_id", F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))), materialise(kept, "jaccard-kept"), "_id", "inner")
-    return rows.select(*[F.col(f"`{c}`") for c in names])
+    """df with one row of each component, one with the smallest identifier (null last); rows without words all stay."""
+    numbers = numbered(df, key, text, whole=True).withColumnRenamed("doc", "id")
+    rows = numbers.select("doc_id", "id").join(_classes(numbers, SHINGLE, THRESHOLD, False), "id")
+    first = rows.filter("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "id")).getField("id").alias("id"))
+    kept = materialise(first.select("id").unionByName(rows.filter("comp is null").select("id")), "jaccard-kept")
+    return sized_join(numbers, kept, "id", "inner").select("row.*")

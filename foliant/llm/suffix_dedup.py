@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import _BASE_INV, materialise, mix, powers, prefix_sums, sized_join, text_bytes
+from foliant.llm.common import _BASE_INV, materialise, mix, numbered, powers, prefix_sums, sized_join, text_bytes
 
 SPAN, CORE = 400, 200
 
@@ -397,7 +397,7 @@ def removed_spans(df: DataFrame, span: int = SPAN, core: int = CORE) -> DataFram
     32-bit (start, end) in bytes."""
     spark = df.sparkSession
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    meet = lambda rows: rows.repartitionByRange(parts, "part").sortWithinPartitions("part")
+    meet = lambda rows: rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part")
     sampled = df.mapInArrow(_sampled(parts, span, core), PLACES)
     places = meet(sampled).mapInArrow(_repeated, CANDIDATES).groupBy("doc").agg(F.collect_list("places").alias("blobs"))
     places = materialise(places.select("doc", F.aggregate("blobs", F.lit(b""), lambda a, x: F.concat(a, x)).alias("places")), "suffix-places")
@@ -430,15 +430,6 @@ def keep(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def numbered(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, text, doc): doc is the identifier if it is unique and never null, else a row number that is written down."""
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    clash = rows.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
-    if not clash:
-        return rows.withColumn("doc", F.col("doc_id"))
-    return materialise(rows.withColumn("doc", F.monotonically_increasing_id()), "suffix-rows")
-
-
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, core: int = CORE) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) a row of df."""
     rows = numbered(df, key, text)

@@ -139,6 +139,18 @@ def test_jaccard_links(spark, docs, monkeypatch):
     assert {r.doc_id: r.n_links for r in jaccard_join.near_duplicates(df).collect()} == {i: sum(a == i for a, _ in want) for i in sets}
 
 
+def test_jaccard_repeated_and_null_identifiers(spark):
+    """Rows with one identifier and different texts keep their own sets; the whole row stays, whatever its columns are called."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a, 1), (5, b, 2), (7, a, 3), (None, b, 4), (None, a + " x", 5), (None, None, 6), (9, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id int").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(5, 36, 5, 2), (5, 36, 5, 1), (7, 36, 5, 2), (None, 36, 5, 1), (None, 37, 5, 2), (None, 0, None, 0), (9, 0, 9, 0)], key=str)
+    kept = jaccard_join.representatives(df.withColumns({"row": df["id"], "comp": df["id"], "doc": df["id"], "_id": df["id"]}))
+    assert kept.columns == ["doc_id", "text", "id", "row", "comp", "doc", "_id"]
+    assert sorted((r.id for r in kept.collect()), key=str) in ([1, 2, 6, 7],)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (50, 200)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
