@@ -50,12 +50,6 @@ def j28_thread_key(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", lifecycle.thread_key(F.col("role"), F.col("conv_id").cast("string")).alias("thread_key"))
 
 
-@query("""SELECT x.doc_id, CASE WHEN l.doc_id IS NULL THEN 'MISSING' ELSE 'ACTIVE' END AS state FROM (SELECT DISTINCT doc_id FROM documents) x LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)""")
-def i5_missing(spark, d):
-    known = table(spark, d, "documents").select("doc_id").distinct().withColumn("state", F.lit("ACTIVE"))
-    return lifecycle.reconciled(known, table(spark, d, "labels").select("doc_id"), "doc_id")
-
-
 @query("SELECT doc_id, CASE WHEN text IS NULL THEN 'NO_TEXT' WHEN n_chars IS DISTINCT FROM length(text) THEN 'STALE' ELSE 'FRESH' END AS freshness FROM documents")
 def e2_stale(spark, d):
     docs = table(spark, d, "documents")

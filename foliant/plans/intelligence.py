@@ -11,13 +11,6 @@ from foliant.operators import families, relational
 from foliant.plans.queries import _TERMS, query, table
 
 
-@query("SELECT doc_id, lang, n_chars FROM documents WHERE n_chars >= 200 AND lang IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)")
-def c1_filters(spark, d):
-    labels = table(spark, d, "labels")
-    rows = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
-    return families.filtered(rows, F.col("n_chars") >= 200, F.col("lang").isNotNull(), having=[labels], without=[labels.filter("toxic = 1")])
-
-
 @query("SELECT page_id, url FROM pages WHERE starts_with(url, 'https://')")
 def c4_path_prefix(spark, d):
     return table(spark, d, "pages").filter(F.col("url").startswith("https://")).select("page_id", "url")
@@ -86,7 +79,7 @@ def f14_entity_frequency(spark, d):
 
 
 @query(f"WITH {_FOUND} SELECT kind, count(DISTINCT doc_id) AS docs, count(*) AS hits FROM f GROUP BY kind")
-def f16_finding_summary(spark, d):
+def f14_finding_kinds(spark, d):
     a_doc = _findings(table(spark, d, "documents")).groupBy("kind", "doc_id").agg(F.count("*").alias("n"))
     return a_doc.groupBy("kind").agg(F.count("doc_id").alias("docs"), F.sum("n").alias("hits"))
 
@@ -97,7 +90,7 @@ def f17_worst_severity(spark, d):
 
 
 @query("SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2")
-def f19_topic_over_time(spark, d):
+def f30_users_by_month(spark, d):
     return table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM").alias("month"), "event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 
 

@@ -34,11 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- aggregates -----------------------------------------------------------------------------------------
 
 
-@query("SELECT lang, count(*) AS files, sum(n_chars)::BIGINT AS total, min(n_chars) AS smallest, max(n_chars) AS largest, floor(avg(n_chars))::BIGINT AS mean FROM documents GROUP BY lang")
-def f1_index_statistics(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("files"), F.sum("n_chars").alias("total"), F.min("n_chars").alias("smallest"), F.max("n_chars").alias("largest"), F.floor(F.avg("n_chars")).alias("mean"))
-
-
 @query("""SELECT CASE WHEN n_chars < 100 THEN 0 WHEN n_chars < 500 THEN 1 WHEN n_chars < 1000 THEN 2 WHEN n_chars < 2000 THEN 3 WHEN n_chars < 5000 THEN 4 WHEN n_chars < 10000 THEN 5 ELSE 6 END AS size_range,
   count(*) AS files, sum(n_chars)::BIGINT AS total FROM documents WHERE n_chars >= 0 GROUP BY 1""")
 def f2_size_ranges(spark, d):
@@ -83,11 +78,6 @@ def f18_timeline_buckets(spark, d):
     return table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("bucket"), "event_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT json_extract_string(props, '$.k') AS topic, count(*) AS n FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1")
-def f27_topic_frequency(spark, d):
-    return table(spark, d, "events").groupBy(F.get_json_object("props", "$.k").alias("topic")).agg(F.count("*").alias("n")).filter("topic is not null")
-
-
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS pos, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, max(n) AS n, max(value) FILTER (pos = least(floor(n * 0.5::DOUBLE), n - 1)) AS p50, max(value) FILTER (pos = least(floor(n * 0.95::DOUBLE), n - 1)) AS p95, max(value) FILTER (pos = least(floor(n * 0.99::DOUBLE), n - 1)) AS p99 FROM r GROUP BY event_type""")
 def f28_percentiles(spark, d):
@@ -104,13 +94,6 @@ def f30_month_by_type(spark, d):
     return table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_orderpriority").alias("kind")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("""WITH c AS (SELECT source, lang, count(*) AS n, sum(n_chars) AS s FROM documents GROUP BY 1, 2)
-SELECT source, sum(n)::BIGINT AS files, sum(s)::BIGINT AS total, arg_min(lang, struct_pack(a := -n, b := lang)) AS common FROM c GROUP BY source""")
-def f31_folder_mode(spark, d):
-    counts = table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("s"))
-    return counts.groupBy("source").agg(F.sum("n").alias("files"), F.sum("s").alias("total"), F.min_by("lang", F.struct(-F.col("n"), F.col("lang"))).alias("common"))
-
-
 @query("""WITH p AS (SELECT lang, quantile_cont(n_chars, 0.95) AS edge FROM documents GROUP BY lang)
 SELECT lang, count(*) AS files, sum(n_chars)::BIGINT AS total FROM documents JOIN p USING (lang) WHERE n_chars <= edge GROUP BY lang""")
 def f32_below_p95(spark, d):
@@ -121,7 +104,7 @@ def f32_below_p95(spark, d):
 
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS discount
 FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
-def f34_system_stats(spark, d):
+def f4_price_summary(spark, d):
     rows = table(spark, d, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("discount"))
 
@@ -129,12 +112,6 @@ def f34_system_stats(spark, d):
 # --- joins, sets, top-k ---------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' ELSE 'fresh' END AS state FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)".replace("SELECT doc_id, CASE", "SELECT d.doc_id, CASE"))
-def e2_stale_targets(spark, d):
-    labels = table(spark, d, "labels").select("doc_id").distinct().withColumn("known", F.lit(True))
-    return table(spark, d, "documents").join(labels, "doc_id", "left").select("doc_id", F.when(F.col("known").isNull(), "missing").otherwise("fresh").alias("state"))
-
-
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def e4_without_label(spark, d):
     return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_anti")
@@ -193,32 +170,24 @@ def e22_calendar(spark, d):
 
 
 @query("""SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS place FROM documents QUALIFY place <= 10""")
-def h2_largest_per_type(spark, d):
+def g9_top_per_type(spark, d):
     rows = table(spark, d, "documents").select("lang", "doc_id", "n_chars")
     return relational.top_per_group(rows, "lang", [F.col("n_chars").desc(), F.col("doc_id")], 10)
 
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text")
-def g8_collapse_duplicates(spark, d):
+def g4_lowest_id_survives(spark, d):
     return table(spark, d, "documents").filter("text is not null").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 
 
 @query("""SELECT coalesce(c.c_custkey, o.k) AS custkey, CASE WHEN c.c_custkey IS NULL THEN 'added' WHEN o.k IS NULL THEN 'removed' WHEN o.n <> 1 THEN 'changed' ELSE 'same' END AS change
 FROM customer c FULL JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) o ON c.c_custkey = o.k""")
-def i13_snapshot_diff(spark, d):
+def i3_snapshot_diff(spark, d):
     before = table(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), F.lit(1).cast("long").alias("n"))
     after = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.count("*").alias("n"))
     return relational.snapshot_diff(before, after, "custkey", ["n"])
 
 
-@query("""SELECT doc_id, lang, quality AS state FROM documents JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id)
-UNION ALL SELECT doc_id, lang, -1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)""")
-def b1_upsert(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "lang")
-    known = docs.join(table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("state")), "doc_id")
-    return relational.upsert(docs.withColumn("state", F.lit(-1)), known, "doc_id")
-
-
 # --- text and search ------------------------------------------------------------------------------------
 
 
