@@ -12,8 +12,12 @@ Packing is bulk-synchronous best fit, longest first. A superstep takes all piece
   4. matched gaps shrink by the length and go back to the sorted gaps; pieces without a gap open sequences;
   5. the next superstep has the next smaller length.
 As both lengths and gaps are whole numbers up to the capacity, the state between supersteps is runs, of which
-there are a few thousand whatever the number of documents. The sweeps themselves run over that bounded state;
-matching single pieces to single gaps, which grows with the data, is a distributed join on (length, rank).
+there are a few thousand whatever the number of documents. The sweeps themselves run over that bounded state, on
+the driver; matching single pieces to single gaps, which grows with the data, is a search for a piece's rank among
+the runs, in the tasks that hold the ranked pieces: no piece is moved for it, and however many pieces have one
+length, each costs the same.
+
+Texts are encoded once: the pieces, a few numbers each, are written down before they are sorted.
 
 Defined cases: a null or empty text is the one token 0; repeated rows are packed as often as they occur; an
 empty table gives an empty table.
@@ -29,6 +33,7 @@ from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +42,8 @@ from foliant.llm.common import materialise, ranked
 
 CAPACITY = 2048
 
-#: Distinct words whose ids one Python worker keeps.
-CACHE_WORDS = 1_000_000
+#: Distinct words whose ids one Python worker keeps; when they are so many, it begins anew.
+CACHE_WORDS = 150_000
 
 
 def default_vocabulary() -> str:
@@ -70,7 +75,9 @@ class Encoder(dict):
         if sys.byteorder == "big":
             ids.byteswap()
         ids = ids.tobytes()
-        if len(word) <= 64 and len(self) < CACHE_WORDS:
+        if len(word) <= 64:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
             self[word] = ids
         return ids
 
@@ -172,21 +179,38 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return runs
 
 
+PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+
+
+def _placed(runs):
+    """runs: (first rank, sequence less rank, offset), sorted; they cover all ranks."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, shift, offset = (np.array(c, np.int64) for c in zip(*runs.value, strict=True))
+        names = [c.split()[0] for c in PLACED.split(", ")]
+        for batch in rows:
+            rank = batch.column("_rank").to_numpy()
+            at = np.searchsorted(first, rank, side="right") - 1
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), batch.column("length").cast(pa.int64()), batch.column("ids_crc32"), pa.array(rank + shift[at]), pa.array(offset[at])], names=names)
+
+    return run
+
+
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) a piece."""
     spark = df.sparkSession
     order = [F.col("length").desc(), F.col("ids_crc32"), F.col("doc_id"), F.col("piece"), F.col("start")]
-    sorted_pieces = ranked(pieces(df, key, text, capacity, vocabulary), order, "_rank", "pack")
-    counts = dict(materialise(sorted_pieces.groupBy("length").count(), "pack-lengths").collect())  # a row for each length up to the capacity
+    encoded = materialise(pieces(df, key, text, capacity, vocabulary), "pack-pieces")
+    counts = dict(encoded.groupBy("length").count().collect())  # a row for each length up to the capacity
+    if not counts:
+        return spark.createDataFrame([], PLACED)
     before, starts = 0, {}
     for length in sorted(counts, reverse=True):
         starts[length] = before
         before += counts[length]
-    runs = [(length, starts[length] + first, starts[length] + first + n, seq - (starts[length] + first), offset) for length, first, n, seq, offset in plan(counts, capacity)]
-    table = spark.createDataFrame(runs, "length int, _first long, _end long, _shift long, offset int")
-    # runs: a few for each length, so bounded by the capacity
-    joined = sorted_pieces.join(F.broadcast(table), "length").filter("_rank >= _first and _rank < _end")
-    return joined.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", (F.col("_rank") + F.col("_shift")).alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
+    runs = sorted((starts[length] + first, seq - (starts[length] + first), offset) for length, first, _, seq, offset in plan(counts, capacity))
+    held = spark.sparkContext.broadcast(runs)  # a few for each length, so bounded by the capacity
+    return ranked(encoded, order, "_rank", "pack").mapInArrow(_placed(held), PLACED)
 
 
 SEQUENCE = "sequence_id long, tokens int, ids binary, doc_ids array<long>, offsets array<long>"

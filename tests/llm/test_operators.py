@@ -349,3 +349,15 @@ def test_preferences(spark):
                 a, b = map(int, span.split("-"))
                 assert side[a:b].endswith("<|end|>\n") and "<|assistant|>" not in side[a:b]
     assert preferences.preference_pairs(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_packing_many_of_one_length(spark):
+    """A flood of one-token documents among others: runs of one length are many, and every piece has one place."""
+    rows = [(i, None) for i in range(4000)] + [(4000 + i, "word " * (i % 700 + 1)) for i in range(900)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), capacity=512).collect()
+    ends = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 512 and len(ends) == -(-sum(r.length for r in got) // 512)
+    assert Counter(r.doc_id for r in got if r.doc_id < 4000) == Counter(range(4000))
