@@ -187,10 +187,11 @@ def bare_name(name: Column) -> Column:
 
 def version_stem(name: Column, rounds: int = 3) -> Column:
     """What is left of a name when version numbers, copy numbers, version words and dates at its end are taken off, again
-    and again, as lower-case words. One pattern takes off any sequence of endings; a few rounds take what that uncovers."""
+    and again, as lower-case words. One pattern takes off any sequence of endings, each matched once (atomic groups keep long runs
+    of digits linear); a few rounds take what that uncovers."""
     out = bare_name(name)
     for _ in range(rounds):
-        out = F.regexp_replace(out, f"(?iu)(?:{'|'.join(_ENDINGS)})+$", "")
+        out = F.regexp_replace(out, f"(?iu)(?>{'|'.join(_ENDINGS)})+$", "")
     return F.array_join(F.regexp_extract_all(F.lower(out), F.lit("([0-9a-zA-ZÀ-ÖØ-öø-ÿ]+)"), 1), " ")
 
 
@@ -218,6 +219,20 @@ def family_key(folder: Column, stem: Column) -> Column:
     return F.concat(F.lit("version:"), F.substring(F.sha1(F.concat_ws("|", F.coalesce(folder, F.lit("")), stem)), 1, 16))
 
 
+def version_stem_sql(name: str, rounds: int = 4) -> str:
+    """The same rules, one ending after the other, for an engine without lookbehind."""
+    out = f"regexp_replace({name}, '(?i)(?:\\.tar\\.(?:gz|bz2|xz|zst)|\\.[^.]*)$', '')".replace("\\\\", "\\")
+    no_digit_before = lambda date: rf"(?:[\s_\-.]+|^|([^0-9\s_\-.])){date}[\s_\-.]*$"
+    for _ in range(rounds):
+        for i, ending in enumerate(_ENDINGS):
+            if i in (3, 4):
+                plain = (_YMD, _DMY)[i - 3].replace("(20", "(?:20").replace("([0-9]", "(?:[0-9]")
+                out = f"regexp_replace({out}, '{no_digit_before(plain)}', '\\1')".replace("\\\\", "\\")
+            else:
+                out = f"regexp_replace({out}, '(?i){ending}$', '')"
+    return f"array_to_string(regexp_extract_all(lower({out}), '[0-9a-zA-ZÀ-ÖØ-öø-ÿ]+'), ' ')"
+
+
 # --- names, sizes, paths, tags --------------------------------------------------------------------------
 
 
@@ -232,7 +247,7 @@ def human_size(size: Column) -> Column:
     units = ("KB", "MB", "GB", "TB", "PB")
     out = F.concat(size.cast("string"), F.lit(" B"))
     for i, unit in enumerate(units, 1):
-        out = F.when(size >= 1024**i, F.concat(F.format_string("%.1f", size / 1024.0**i), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(size >= 1024**i, F.concat(F.format_string("%.1f", F.bround(size / 1024.0**i, 1)), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

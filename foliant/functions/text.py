@@ -6,6 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
+LATIN = r"[0-9A-Za-zÀ-ÖØ-öø-ÿ_]+"
+TOPIC = r"[0-9A-Za-zÀ-ÖØ-öø-ÿ]{3,}"
+
+# Words that are no topic terms.
+STOPWORDS = (
+    "the and for are but not you all any can had her was one our out day get has him his how its may new now old see two way who boy did use she too "
+    "that with have this will your from they know want been good much some time very when come here just like long make many more only over such take "
+    "than them well were what would there their about which these other into could should also after before between because "
+    "les des une que qui dans pour avec sur pas par plus est sont aux cette cet ses son sa nous vous ils elles mais ou et en du au "
+    "der die das und ist sind mit von den dem ein eine einer eines auf für als bei nach nicht auch werden wird wurde sich aus im zum zur über durch dass man kann oder "
+    "http https www com org net pdf doc page"
+).split()
+
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 IPV4 = r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b"
 CARD = r"\b[3-6][0-9]{14,15}\b"
@@ -17,6 +30,23 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), 1)
 
 
+def latin_tokens(text: Column) -> Column:
+    """Lower-case runs of Latin letters, digits and underscores."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({LATIN})"), 1)
+
+
+def topic_tokens(text: Column, most: int = 4000) -> Column:
+    """Lower-case words of three characters at least that are no numbers and no stop words; the first `most` of a text are
+    the operator's bound, as one text must not decide a topic."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOPIC})"), 1)
+    return F.slice(F.filter(words, lambda w: ~w.rlike("^[0-9]+$") & ~w.isin(*STOPWORDS)), 1, most)
+
+
+def safe_term(term: Column) -> Column:
+    """Fit for a label: 3 to 40 characters, no number, nothing of the shape of an address, a path or an identifier."""
+    return F.length(term).between(3, 40) & ~term.rlike(r"^[0-9]+$|[@/:\\]|^[0-9]{2,}")
+
+
 def matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({pattern})"), 1)
 
@@ -41,6 +71,31 @@ def mask_phone(value: Column) -> Column:
     return F.lpad(F.right(digits, F.lit(2)), F.length(digits), F.lit("*"))
 
 
+def mask_iban(value: Column) -> Column:
+    bare = F.upper(F.regexp_replace(value, r"\s", ""))
+    return F.when(F.length(bare) >= 8, F.concat(F.substring(bare, 1, 4), F.lit(" **** **** "), F.right(bare, F.lit(4)))).otherwise("****")
+
+
+def mask_name(value: Column) -> Column:
+    return F.concat(F.substring(value, 1, 1), F.lit("***"))
+
+
+def mask_address(value: Column) -> Column:
+    return F.concat(F.when(F.length(value) > 8, F.substring(value, 1, 8)).otherwise(""), F.lit("…"))
+
+
+def mask_dob(value: Column) -> Column:
+    return F.concat(F.lit("**/**/"), F.when(F.length(value) >= 4, F.right(value, F.lit(4))).otherwise("****"))
+
+
+def national_ok(value: Column) -> Column:
+    """Thirteen places and a key of two, which complete the number to a multiple of 97; 2A and 2B stand for 19 and 18."""
+    bare = F.upper(F.regexp_replace(value, r"\s", ""))
+    number = F.replace(F.replace(F.substring(bare, 1, 13), F.lit("2A"), F.lit("19")), F.lit("2B"), F.lit("18"))
+    key = F.substring(bare, 14, 2).cast("long")
+    return bare.rlike(r"^[0-9]{5}([0-9]{2}|2A|2B)[0-9]{8}$") & (key == 97 - number.cast("long") % 97)
+
+
 def mask_card(value: Column) -> Column:
     return F.concat(F.lit("**** **** **** "), F.right(value, F.lit(4)))
 
@@ -62,17 +117,3 @@ def iban_ok(value: Column) -> Column:
         lambda a, c: F.when(c == "", a).when(c.rlike("[0-9]"), (a * 10 + c.cast("long")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97),
     )
     return bare.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$") & (number == 1)
-
-
-def version_marker(name: Column) -> Column:
-    """Number after v, ver, rev or in brackets; 0 if there is none."""
-    found = F.regexp_extract(F.lower(name), r"(?:^|[^a-z])(?:v|ver|version|rev)[ ._-]?([0-9]+)", 1)
-    copy = F.regexp_extract(name, r"\(([0-9]+)\)", 1)
-    return F.when(found != "", found.cast("long")).when(copy != "", copy.cast("long")).otherwise(F.lit(0).cast("long"))
-
-
-def version_stem(name: Column) -> Column:
-    bare = F.regexp_replace(F.lower(name), r"\.[a-z0-9]{1,5}$", "")
-    bare = F.regexp_replace(bare, r"(?:^|[^a-z])(?:v|ver|version|rev)[ ._-]?[0-9]+", " ")
-    bare = F.regexp_replace(bare, r"\([0-9]+\)|(?:^|(?<=[^a-z]))(?:final|draft|copy|copie|brouillon|definitif)(?=[^a-z]|$)|[0-9]{4}-[0-9]{2}-[0-9]{2}", " ")
-    return F.trim(F.regexp_replace(bare, r"[\s._-]+", " "))

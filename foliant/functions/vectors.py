@@ -18,3 +18,10 @@ def cosine(a: Column, b: Column) -> Column:
     """0 where a vector is zero."""
     lengths = norm(a) * norm(b)
     return F.when(lengths == 0, F.lit(0.0)).otherwise(dot(a, b) / lengths)
+
+
+def normalised(a: Column) -> Column:
+    """Of length one; a zero vector stays as it is, and what is not finite counts as 0."""
+    clean = F.transform(a, lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(x.cast("double")))
+    length = norm(clean)
+    return F.transform(clean, lambda x: x / F.when(length == 0, F.lit(1.0)).otherwise(length))

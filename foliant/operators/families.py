@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions import text as t
+from foliant.functions import names
 
 
 def filtered(df: DataFrame, *conditions: Column, having: Sequence[DataFrame] = (), without: Sequence[DataFrame] = (), on: str = "doc_id") -> DataFrame:
@@ -23,16 +23,26 @@ def filtered(df: DataFrame, *conditions: Column, having: Sequence[DataFrame] = (
     return df
 
 
-def version_families(df: DataFrame, folder: str, name: str, id_: str) -> DataFrame:
-    """(id, folder, stem, marker, members, confidence, rank, is_primary) of files of one folder whose names have one
-    stem; HIGH if two names or more have a marker, else UNORDERED. Ranked by marker, then id; the last is primary."""
-    rows = df.select(F.col(id_), F.col(folder).alias("folder"), t.version_stem(F.col(name)).alias("stem"), t.version_marker(F.col(name)).alias("marker")).filter("stem != ''")
-    family = Window.partitionBy("folder", "stem")
-    rows = rows.withColumn("members", F.count("*").over(family)).filter("members >= 2")
-    marked = F.sum((F.col("marker") > 0).cast("long")).over(family)
-    rows = rows.withColumn("confidence", F.when(marked >= 2, "HIGH").otherwise("UNORDERED"))
-    rows = rows.withColumn("rank", F.row_number().over(family.orderBy("marker", id_)) - 1)
-    return rows.withColumn("is_primary", F.col("rank") == F.col("members") - 1)
+def version_families(df: DataFrame, folder: str, name: str, id_: str, at: str | None = None, near: DataFrame | None = None) -> DataFrame:
+    """(id, family, folder, stem, members, confidence, rank, is_primary) of files of one folder whose names have one stem, two
+    at least. HIGH if two names or more have a marker; MEDIUM if a name has a version word, or two members are linked in
+    `near` (src, dst); else UNORDERED. HIGH families are ordered by marker (dates and numbers as they are, names without one
+    last) and time, others by time; then by identifier. The last one is primary."""
+    time = F.coalesce(F.col(at).cast("string"), F.lit("")) if at else F.lit("")
+    rows = df.select(F.col(id_).alias("id"), F.coalesce(folder, F.lit("")).alias("folder"), names.version_stem(F.col(name)).alias("stem"), names.version_marker(F.col(name)).alias("marker"), names.has_version_word(F.col(name)).alias("word"), time.alias("at"))
+    rows = rows.filter("stem != ''")
+    groups = rows.groupBy("folder", "stem").agg(F.count("*").alias("members"), F.count("marker").alias("marked"), F.max("word").alias("word")).filter("members >= 2")
+    if near is not None:
+        ends = rows.select("folder", "stem", "id")
+        a, b = ends.select(F.col("id").alias("src"), F.struct("folder", "stem").alias("fa")), ends.select(F.col("id").alias("dst"), F.struct("folder", "stem").alias("fb"))
+        linked = near.join(a, "src").join(b, "dst").filter("fa = fb").select("fa.*").distinct().withColumn("near", F.lit(True))
+        groups = groups.join(linked, ["folder", "stem"], "left").withColumn("word", F.col("word") | F.coalesce("near", F.lit(False))).drop("near")
+    groups = groups.withColumn("confidence", F.when(F.col("marked") >= 2, "HIGH").when(F.col("word"), "MEDIUM").otherwise("UNORDERED"))
+    rows = rows.join(groups.select("folder", "stem", "members", "confidence"), ["folder", "stem"])
+    marked = (F.col("confidence") == "HIGH") & F.col("marker").isNotNull()
+    order = Window.partitionBy("folder", "stem").orderBy(F.when(marked, 0).otherwise(1), F.when(marked, F.col("marker.kind")), F.when(marked, F.col("marker.at")), "at", "id")
+    rows = rows.withColumn("rank", F.row_number().over(order) - 1)
+    return rows.select("id", names.family_key(F.col("folder"), F.col("stem")).alias("family"), "folder", "stem", "members", "confidence", "rank", (F.col("rank") == F.col("members") - 1).alias("is_primary"))
 
 
 def kmeans(df: DataFrame, id_: str, vector: str, k: int, seed: int = 0, steps: int = 20) -> DataFrame:

@@ -39,12 +39,6 @@ _TOPICS = {"time": ["time", "day", "year"], "people": ["people", "man", "woman"]
 _HITS = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, n, " + " + ".join(f"list_contains(w, '{k}')::INTEGER" for k in ks) + " AS hits FROM w" for c, ks in _TOPICS.items())
 
 
-@query(f"""WITH w AS (SELECT doc_id, list_distinct(x) AS w, greatest(len(x), 1) AS n FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS x FROM documents)), h AS ({_HITS})
-SELECT doc_id, category, round(least(100.0::DOUBLE * hits / n, 1), 3) AS score FROM h WHERE 100.0::DOUBLE * hits / n >= 1""")
-def k19_keyword_categories(spark, d):
-    return categories.by_keywords(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", _TOPICS)
-
-
 @query("SELECT conv_id, turn, 'thread:' || substr(sha1(coalesce(NULLIF(role, ''), conv_id::VARCHAR)), 1, 16) AS thread_key FROM conversations")
 def j28_thread_key(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", lifecycle.thread_key(F.col("role"), F.col("conv_id").cast("string")).alias("thread_key"))

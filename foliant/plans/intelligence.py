@@ -119,19 +119,6 @@ def g11_second_difference(spark, d):
     return families.second_differences(days, "day", "n")
 
 
-@query(f"""WITH {_TERMS} SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 ELSE len(list_distinct(list_transform(range(greatest(len(w) - 4, 0) + 1), lambda i: array_to_string(w[i + 1:i + 4], ' ')))) END AS n_shingles FROM w""")
-def j2_shingles(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", t.tokens(F.col("text")).alias("w"))
-    return rows.select("doc_id", F.size(scores.shingles(F.col("w"))).cast("long").alias("n_shingles"))
-
-
-@query()
-def j3_simhash(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", scores.shingles(t.tokens(F.col("text"))).alias("runs"))
-    hashed = rows.select("doc_id", scores.simhash64("runs").alias("simhash"))
-    return hashed.withColumn("bands", scores.band_keys(F.col("simhash")))
-
-
 @query(f"""WITH {_TERMS}, c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM w) GROUP BY 1, 2), g AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
 s AS (SELECT doc_id, c.term, round(tf::DOUBLE / len(w)::DOUBLE * (ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + df)::DOUBLE) + 1), 6) AS score FROM c JOIN g USING (term) JOIN w USING (doc_id))
 SELECT doc_id, term, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS place FROM s QUALIFY place <= 10""")
@@ -145,11 +132,6 @@ def j12_tfidf(spark, d):
     return relational.top_per_group(rows.select("doc_id", "term", score.alias("score")), "doc_id", [F.col("score").desc(), F.col("term")], 10)
 
 
-@query("SELECT strftime(o_orderdate, '%G-W%V') AS week, count(*) AS n FROM orders GROUP BY 1")
-def j14_iso_weeks(spark, d):
-    return table(spark, d, "orders").groupBy(scores.iso_week(F.col("o_orderdate")).alias("week")).agg(F.count("*").alias("n"))
-
-
 @query("""SELECT o_orderkey, round(exp(-date_diff('day', o_orderdate::DATE, (SELECT max(o_orderdate)::DATE FROM orders)) / 365.0::DOUBLE), 8) AS recency,
   round(least(1.0::DOUBLE, ln(1 + n) / ln(21.0::DOUBLE)), 8) AS centrality FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def j18_recency_and_centrality(spark, d):
@@ -177,11 +159,6 @@ def l1_hash_candidates(spark, d):
     return docs.filter("text is not null").join(shared, "n_chars", "left_semi").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@query()
-def l10_version_families(spark, d):
-    return families.version_families(table(spark, d, "part"), "p_brand", "p_name", "p_partkey")
-
-
 @query()
 def n3_kmeans(spark, d):
     return families.kmeans(table(spark, d, "embeddings"), "vec_id", "embedding", 12)

@@ -191,13 +191,6 @@ def i3_snapshot_diff(spark, d):
 # --- text and search ------------------------------------------------------------------------------------
 
 
-@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents)
-SELECT doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_distinct FROM w""")
-def j1_token_counts(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", t.tokens(F.col("text")).alias("w"))
-    return rows.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
-
-
 _TERMS = r"""w AS (SELECT doc_id, lang, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents)"""
 
 
@@ -287,16 +280,6 @@ def k3_card_check(spark, d):
     return found.select("doc_id", t.mask_card(F.col("v")).alias("masked"), t.luhn_ok(F.col("v")).alias("valid"))
 
 
-@query("SELECT p_partkey, coalesce(nullif(regexp_extract(lower(p_name), '(?:^|[^a-z])(?:v|ver|version|rev)[ ._-]?([0-9]+)', 1), '')::BIGINT, nullif(regexp_extract(p_name, '\\(([0-9]+)\\)', 1), '')::BIGINT, 0) AS marker FROM part".replace("\\\\", "\\"))
-def j9_version_marker(spark, d):
-    return table(spark, d, "part").select("p_partkey", t.version_marker(F.col("p_name")).alias("marker"))
-
-
-@query()
-def a24_html_text(spark, d):
-    return table(spark, d, "pages").select("page_id", "url", markup.html_text(F.col("html")).alias("body"))
-
-
 # --- vectors --------------------------------------------------------------------------------------------
 
 _COS = "list_dot_product(a.e, b.e) / nullif(sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)), 0)"
