@@ -9,7 +9,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions import names
+from foliant.functions import names, scores
+from foliant.functions import text as t
+from foliant.operators.scratch import cut
 
 
 def filtered(df: DataFrame, *conditions: Column, having: Sequence[DataFrame] = (), without: Sequence[DataFrame] = (), on: str = "doc_id") -> DataFrame:
@@ -45,6 +47,20 @@ def version_families(df: DataFrame, folder: str, name: str, id_: str, at: str |
     return rows.select("id", names.family_key(F.col("folder"), F.col("stem")).alias("family"), "folder", "stem", "members", "confidence", "rank", (F.col("rank") == F.col("members") - 1).alias("is_primary"))
 
 
+def simhash_pairs(df: DataFrame, id_: str, text: str, bands: int = 4, min_lexical: float = 0.6, least: int = 3) -> DataFrame:
+    """(src, dst, lexical): pairs of different texts of `least` tokens at least that share a band of their SimHash and whose
+    token sets' Jaccard similarity reaches the bound. Equal texts are one, named by their smallest identifier, so copies form
+    no pairs. Bands of 16 bits keep buckets small; a shared band is found with the probability that the hashes agree there."""
+    rows = df.select(F.col(id_).alias("id"), t.latin_tokens(F.col(text)).alias("w"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("digest")).filter(F.size("w") >= least)
+    nodes = rows.groupBy("digest").agg(F.min("id").alias("id"), F.first("w").alias("w"))
+    nodes = cut(nodes.select("id", scores.simhash64(scores.shingles(F.col("w"))).alias("h"), F.array_distinct("w").alias("w")), "simhash")
+    keys = nodes.select("id", F.posexplode(scores.band_keys(F.col("h"), bands)).alias("band", "key"))
+    pairs = keys.join(keys.withColumnRenamed("id", "dst"), ["band", "key"]).filter("id < dst").select(F.col("id").alias("src"), "dst").distinct()
+    a, b = nodes.select(F.col("id").alias("src"), F.col("w").alias("wa")), nodes.select(F.col("id").alias("dst"), F.col("w").alias("wb"))
+    both = pairs.join(a, "src").join(b, "dst").select("src", "dst", F.round(t.jaccard(F.col("wa"), F.col("wb")), 5).alias("lexical"))
+    return both.filter(F.col("lexical") >= min_lexical)
+
+
 def kmeans(df: DataFrame, id_: str, vector: str, k: int, seed: int = 0, steps: int = 20) -> DataFrame:
     """(id, cluster) by distributed k-means."""
     rows = df.filter(F.col(vector).isNotNull()).select(id_, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.operators.scratch import cut
+
 
 def shared_key_degree(df: DataFrame, id_: str, key: str) -> DataFrame:
     """Neighbours by an equal key: the group's size less one. No pair is formed."""
@@ -14,54 +14,64 @@ def shared_key_degree(df: DataFrame, id_: str, key: str) -> DataFrame:
     return df.join(sizes, key, "left").select(id_, (F.coalesce("n", F.lit(1)) - 1).alias("degree"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Written to the shared folder if there is one, so that iterations do not grow the plan."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return df.persist()
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def neighbours(df: DataFrame, by: list[str], id_: str, order: list, most: int) -> DataFrame:
+    """(src, dst): each row with the first `most` others of its group. Only a group's first rows are joined, so a group of any
+    size gives at most `most` rows a member and no pair is formed beyond them."""
+    key = F.struct(*by)
+    rows = df.filter(" and ".join(f"{c} is not null" for c in by)).withColumn("_by", key)
+    first = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_place") <= most + 1)
+    pairs = rows.select(F.col(id_).alias("src"), "_by").join(first.select("_by", F.col(id_).alias("dst"), "_place"), "_by").filter("src != dst")
+    ranked = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("src", "_by").orderBy("_place"))).filter(F.col("_n") <= most)
+    return ranked.select("src", "dst", *[F.col(f"_by.{c}").alias(c) for c in by])
+
+
+def reached(edges: DataFrame, start: DataFrame, depth: int, most: int) -> DataFrame:
+    """(id, depth): nodes within `depth` steps of the start nodes over directed edges (a, b), at most `most`, nearest first,
+    then by id. Each step is an anti join with the nodes seen."""
+    seen = cut(start.select("id", F.lit(0).alias("depth")))
+    for step in range(1, depth + 1):
+        new = edges.join(seen.filter(F.col("depth") == step - 1).select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
+        seen = cut(seen.unionByName(new.join(seen, "id", "left_anti").withColumn("depth", F.lit(step))).orderBy("depth", "id").limit(most))
+    return seen
 
 
-def components(edges: DataFrame, steps: int = 50) -> DataFrame:
-    """(id, component) by least labels with pointer jumping; edges (a, b)."""
-    both = _cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
-    for _ in range(steps):
+def degrees(edges: DataFrame, a: str, b: str, weight: str) -> DataFrame:
+    """(id, degree, weighted): edges at a node, and the weights of those that leave it."""
+    ends = F.explode(F.array(F.struct(F.col(a).alias("id"), F.col(weight).alias("w")), F.struct(F.col(b).alias("id"), F.lit(0.0).alias("w")))).alias("e")
+    return edges.select(ends).groupBy(F.col("e.id").alias("id")).agg(F.count("*").alias("degree"), F.sum("e.w").alias("weighted"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) by least labels with pointer jumping, until a step changes nothing; edges (a, b)."""
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
+    while True:
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         hop = labels.select(F.col("id").alias("component"), F.col("component").alias("far"))
         new = labels.join(near, "id", "left").join(hop, "component", "left").select("id", F.least("component", F.coalesce("near", "component"), F.coalesce("far", "component")).alias("component"))
-        new = _cut(new)
-        moved = new.join(labels.withColumnRenamed("component", "old"), "id").filter("component != old").limit(1).count()
+        new = cut(new)
+        settled = new.join(labels.withColumnRenamed("component", "old"), "id").filter("component != old").isEmpty()
         labels = new
-        if not moved:
-            break
-    return labels
-
-
-def _step(df: DataFrame) -> DataFrame:
-    """_cut for steps that use a table twice: without a shared folder the plan is cut too, or it doubles every step."""
-    return _cut(df) if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
+        if settled:
+            return labels
 
 
 def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float = 1e-4) -> DataFrame:
     """(id, rank) over directed edges (a, b); what dangling nodes hold is spread evenly. Steps end when the ranks
     change by less than the tolerance in sum; ValueError if they do not within `iterations`."""
     edges = edges.select("a", "b").distinct()
-    edges = _step(edges.join(edges.groupBy("a").agg(F.count("*").alias("out")), "a"))
+    edges = cut(edges.join(edges.groupBy("a").agg(F.count("*").alias("out")), "a"))
     nodes = edges.select(F.col("a").alias("id"), F.lit(0).alias("loose")).union(edges.select("b", F.lit(1))).groupBy("id").agg(F.min("loose").alias("loose"))
-    nodes = _step(nodes)
+    nodes = cut(nodes)
     n, hang = nodes.agg(F.count("*"), F.coalesce(F.sum("loose"), F.lit(0))).first()
-    ranks = _step(nodes.withColumn("rank", F.lit(1.0 / max(1, n))))
+    ranks = cut(nodes.withColumn("rank", F.lit(1.0 / max(1, n))))
     if not n:
         return ranks.select("id", "rank")
     held = hang / n
     for _ in range(iterations):
         sent = edges.join(ranks.select(F.col("id").alias("a"), "rank"), "a").groupBy(F.col("b").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         new = F.lit((1 - alpha) / n) + alpha * (F.coalesce("got", F.lit(0.0)) + held / n)
-        ranks = _step(ranks.join(sent, "id", "left").select("id", "loose", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")))
+        ranks = cut(ranks.join(sent, "id", "left").select("id", "loose", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")))
         moved, held = ranks.agg(F.sum("moved"), F.coalesce(F.sum(F.col("rank") * F.col("loose")), F.lit(0.0))).first()
         if moved < tolerance:
             return ranks.select("id", "rank")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import occurrences, tokens
+from foliant.operators.scratch import cut
 
 K1, B = 1.2, 0.75
 
@@ -52,16 +53,65 @@ def matches(words: Column, query: Query) -> Column:
     return ok
 
 
+def postings(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """(term, id, tf, len): the inverted index, a row a document and term."""
+    words = df.select(id_, tokens(F.col(text)).alias("words")).select(id_, F.size("words").alias("len"), F.explode("words").alias("term"))
+    return words.groupBy("term", id_, "len").agg(F.count("*").alias("tf"))
+
+
+def save_index(df: DataFrame, path: str, id_: str = "doc_id", text: str = "text", buckets: int = 64) -> None:
+    """Write the postings in buckets by term, so that a search reads the buckets of its terms only, and the corpus' counts."""
+    rows = postings(df, id_, text).withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets)))
+    rows.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
+    sizes = df.select(F.size(tokens(F.col(text))).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean_len"))
+    sizes.write.mode("overwrite").parquet(f"{path}/corpus")
+
+
+def updated_index(index: DataFrame, changed: DataFrame, gone: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """Postings after documents were changed or removed: theirs go, and the changed ones' new ones come."""
+    out = changed.select(id_).unionByName(gone.select(id_))
+    return index.join(out, id_, "left_anti").unionByName(postings(changed, id_, text).select(index.columns))
+
+
+def search_index(spark, path: str, terms: Sequence[str], id_: str = "doc_id", buckets: int = 64) -> DataFrame:
+    """(id, score) by BM25 of documents that hold every term, from a saved index: only the buckets of the terms are read."""
+    terms = list(dict.fromkeys(terms))
+    wanted = spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.hash("term"), F.lit(buckets)).alias("b"))
+    rows = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(*[r.b for r in wanted.collect()]) & F.col("term").isin(*terms))  # as many rows as terms
+    corpus = F.broadcast(spark.read.parquet(f"{path}/corpus"))  # one row
+    df_ = F.broadcast(rows.groupBy("term").agg(F.count("*").alias("df")))  # a row a term
+    idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
+    scored = rows.join(df_, "term").crossJoin(corpus).groupBy(id_).agg(F.count("*").alias("n"), F.sum(part).alias("score"))
+    return scored.filter(F.col("n") == len(terms)).select(id_, F.round("score", 6).alias("score"))
+
+
 def bm25(df: DataFrame, terms: Sequence[str], id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, score) of documents that hold every term. Term counts stay in the row: nothing is exploded or shuffled
-    but one row of corpus statistics."""
+    """(id, score) of documents that hold every term. Texts are read once: the counts of each, a few numbers, are written
+    down, and the corpus' statistics come from them."""
     terms = list(dict.fromkeys(terms))
     rows = df.select(id_, tokens(F.col(text)).alias("words"))
-    rows = rows.select(id_, F.size("words").alias("len"), *[occurrences(F.col("words"), t).alias(f"tf{i}") for i, t in enumerate(terms)])
-    stats = rows.agg(F.count("*").alias("docs"), F.avg("len").alias("mean_len"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
+    rows = cut(rows.select(id_, F.size("words").alias("len"), *[occurrences(F.col("words"), t).alias(f"tf{i}") for i, t in enumerate(terms)]), "bm25")
+    return _scored(rows, id_, len(terms))
+
+
+def full_text(df: DataFrame, query: Query, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, score) by BM25 of documents that satisfy a query. A prefix is a term whose documents are those with any word
+    that begins so; a phrase is a term whose occurrences are its places."""
+    rows = df.select(id_, tokens(F.col(text)).alias("words"))
+    counts = [F.size(F.filter("words", _begins(p))) for p in query.prefixes] + [occurrences(F.col("words"), e) for e in query.exact]
+    for phrase in query.phrases:
+        joined = F.concat(F.lit(" "), F.array_join("words", "  "), F.lit(" "))  # each word has its own blanks
+        counts.append(((F.length(joined) - F.length(F.replace(joined, F.lit(" " + "  ".join(phrase) + " ")))) / (len("  ".join(phrase)) + 2)).cast("long"))
+    rows = cut(rows.select(id_, F.size("words").alias("len"), *[c.alias(f"tf{i}") for i, c in enumerate(counts)]), "search")
+    return _scored(rows, id_, len(counts))
+
+
+def _scored(rows: DataFrame, id_: str, n: int) -> DataFrame:
+    stats = rows.agg(F.count("*").alias("docs"), F.avg("len").alias("mean_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(n)])
     both = rows.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
-    for i in range(len(terms)):
+    for i in range(n):
         both = both.filter(F.col(f"tf{i}") > 0)
         idf = F.log((F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5) + 1)
         score = score + idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
@@ -104,3 +154,20 @@ def chunks(df: DataFrame, id_: str, text: str, size: int = 800, overlap: int = 1
 def retrieval_metrics(found: DataFrame, query: str, place: str, ks: Sequence[int] = (5, 10)) -> DataFrame:
     """found: place of the relevant document of each query, null if it was not found. Recall at k and MRR."""
     return found.agg(*[F.avg((F.coalesce(F.col(place) <= k, F.lit(False))).cast("double")).alias(f"recall_{k}") for k in ks], F.avg(F.coalesce(1 / F.col(place), F.lit(0.0))).alias("mrr"))
+
+
+def fused(lexical: DataFrame, semantic: DataFrame, id_: str, exact: DataFrame, digests: DataFrame | None = None, families: DataFrame | None = None, k: int = 60, weights: tuple[float, float] = (1.0, 1.0), limit: int = 20) -> DataFrame:
+    """(id, p1, p2, score, place): rankings (id, place) fused, with half a point for ids in `exact` (their name and path hold all
+    words); of equal digests (id, digest) and of each family (id, family) the first one stays; ties by the lexical place, then
+    the semantic one, then id. Rankings are bounded lists, so the last window holds a few rows."""
+    both = rrf(lexical, semantic, id_, k, weights).join(exact.select(id_, F.lit(0.5).alias("bonus")), id_, "left")
+    both = both.withColumn("score", F.round(F.col("score") + F.coalesce("bonus", F.lit(0.0)), 8)).drop("bonus")
+    far = F.lit(10**9)
+    order = [F.col("score").desc(), F.coalesce("p1", far), F.coalesce("p2", far), F.col(id_)]
+    for table, column in ((digests, "digest"), (families, "family")):
+        if table is not None:
+            both = both.join(table.select(id_, F.col(column).cast("string").alias("_g")), id_, "left")
+            own = F.coalesce("_g", F.concat(F.lit("id:"), F.col(id_).cast("string")))
+            both = both.withColumn("_first", F.row_number().over(Window.partitionBy(own).orderBy(*order))).filter("_first = 1").drop("_first", "_g")
+    best = both.orderBy(*order).limit(limit)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(*order)))

@@ -16,11 +16,6 @@ def c4_path_prefix(spark, d):
     return table(spark, d, "pages").filter(F.col("url").startswith("https://")).select("page_id", "url")
 
 
-@query("SELECT count(*) AS total, ceil(count(*) / 25.0)::BIGINT AS total_pages FROM documents")
-def d10_page_metadata(spark, d):
-    return table(spark, d, "documents").agg(F.count("*").alias("total"), F.ceil(F.count("*") / 25.0).alias("total_pages"))
-
-
 @query("SELECT doc_id, " + " + ".join(f"len(regexp_extract_all(coalesce(text, ''), '{p}', 0, 'i'))" for p in scores.AMOUNTS) + " AS amounts FROM documents")
 def d14_amounts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(scores.amounts(F.col("text"))).cast("long").alias("amounts"))
@@ -32,13 +27,6 @@ def d21_text_score(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(scores.text_score("the", F.col("source"), F.col("text")), 6).alias("score"))
 
 
-@query("SELECT 'lang' AS facet, lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source")
-def d28_facets(spark, d):
-    docs = table(spark, d, "documents")
-    facet = lambda c: docs.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n")).select(F.lit(c).alias("facet"), "value", "n")
-    return facet("lang").unionByName(facet("source"))
-
-
 @query("SELECT c_custkey, count(DISTINCT o_orderkey) AS orders, count(l_orderkey) AS items FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def e12_three_way(spark, d):
     items = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("items"))
