@@ -15,12 +15,16 @@ similarity reaches the threshold; the result is every document's component under
    class; two blocks are compared only if some sizes and positions in their bounds can reach the overlap, all others
    are skipped whole, as is the probing set's own component inside a block. What is left are pairs whose exact
    positions reach it.
-4. Verification derives answers from answers: pairs are sorted so that a probing set meets the partners of one
-   component in a row. The overlap with a partner y is known; for the next partner x, only the differences x - y
-   and y - x are looked up, and if their sizes already decide the pair, nothing is.
+   As a component's sets are alike, a pair of sets counts as a pair of a set and the larger one's component: a set
+   that meets thousands of near copies is one candidate, not thousands.
+4. Answers are derived from answers. A component's sets are held as their differences from one of them, the hub. A
+   probing set's overlap with the hub is computed once; for every other set y of the component it is that, plus the
+   part of y - hub that the probe has, less the part of hub - y. The sizes of these differences decide most sets
+   without a lookup, either way, for all of them at once; the differences of the others are looked up.
 
-Links between nodes of one component change no component, so steps 2 to 4 form cross-component pairs only. A list
-is held by one task; the global order keeps lists short, and copies and likely links have been folded before.
+Links between nodes of one component change no component, so steps 2 to 4 look for links across components only. A
+list is held by one task; the global order keeps lists short, and copies and likely links have been folded before.
+Index partitions are as many as the indexed tokens need.
 
 5. Every link lies within a final component. A component is cut into blocks by hash, and every pair of blocks is
    compared set by set in one task, which counts common tokens. links() returns the linked pairs of nodes, and
@@ -147,15 +151,18 @@ def prefix(n, t: tuple[int, int] = THRESHOLD):
 
 POSTINGS = "part int, data binary"
 _ENTRY = np.dtype([("token", "<u4"), ("doc", "<u4"), ("pos", "<u4")])
-_DOC = np.dtype([("id", "<i8"), ("comp", "<i8"), ("n", "<i8")])
+_DOC = np.dtype([("id", "<i8"), ("comp", "<i8"), ("members", "<i8"), ("n", "<i8")])
+
+#: Indexed tokens that an index partition holds, about.
+PART_TOKENS = 1_000_000
 
 
 def _postings(frequency, size: int, parts: int, t: tuple[int, int]):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.frombuffer(frequency.value, np.uint8)
         for batch in rows:
-            ids, comps = (np.asarray(batch.column(i).to_pylist(), np.int64) for i in (0, 1))
-            sets = shingle_sets(text_bytes(batch.column(2)), size)
+            ids, comps, members = (np.asarray(batch.column(i).to_pylist(), np.int64) for i in range(3))
+            sets = shingle_sets(text_bytes(batch.column(3)), size)
             tokens, docs, positions = [], [], []
             for i, s in enumerate(sets):
                 n = len(s)
@@ -180,11 +187,11 @@ def _postings(frequency, size: int, parts: int, t: tuple[int, int]):
                     continue
                 used, local = np.unique(docs[at], return_inverse=True)
                 head = np.zeros(len(used), _DOC)
-                head["id"], head["comp"], head["n"] = ids[used], comps[used], lengths[used]
+                head["id"], head["comp"], head["members"], head["n"] = ids[used], comps[used], members[used], lengths[used]
                 body = np.zeros(len(at), _ENTRY)
                 body["token"], body["doc"], body["pos"] = tokens[at].astype(np.uint32), local, positions[at]
                 # columns of small numbers pack well
-                packed = zlib.compress(b"".join(np.ascontiguousarray(x).tobytes() for x in (head["id"], head["comp"], head["n"], body["doc"], body["pos"])), 1)
+                packed = zlib.compress(b"".join(np.ascontiguousarray(x).tobytes() for x in (head["id"], head["comp"], head["members"], head["n"], body["doc"], body["pos"])), 1)
                 out_part.append(p)
                 out_data.append(np.array([len(used), len(at), len(packed)], "<i8").tobytes() + packed + body["token"].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out_part, pa.int32()), pa.array(out_data, pa.binary())], names=["part", "data"])
@@ -193,15 +200,15 @@ def _postings(frequency, size: int, parts: int, t: tuple[int, int]):
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
-    """(token, id, comp, n, pos) of a blob."""
+    """(token, id, comp, members, n, pos) of a blob."""
     d, e, p = np.frombuffer(data, "<i8", 3)
     raw = zlib.decompress(data[24 : 24 + p])
-    ids, comps, ns = np.frombuffer(raw, "<i8", 3 * d).reshape(3, d)
-    doc, pos = np.frombuffer(raw, "<u4", 2 * e, 24 * d).reshape(2, e)
-    return np.frombuffer(data, "<u4", e, 24 + p), ids[doc], comps[doc], ns[doc], pos.astype(np.int64)
+    ids, comps, members, ns = np.frombuffer(raw, "<i8", 4 * d).reshape(4, d)
+    doc, pos = np.frombuffer(raw, "<u4", 2 * e, 32 * d).reshape(2, e)
+    return np.frombuffer(data, "<u4", e, 24 + p), ids[doc], comps[doc], members[doc], ns[doc], pos.astype(np.int64)
 
 
-CANDIDATES = "a long, b long, ca long, cb long"
+CANDIDATES = "a long, ca long, cb long"
 
 #: Size classes in the ratio of two linked sets' sizes, and position classes a set's length.
 SIZES_A_RATIO, POSITIONS = 4, 32
@@ -231,8 +238,9 @@ def _reachable(ahead: int, x: int, y: int, t: tuple[int, int]) -> bool:
     return other > 0 and max(step ** (ahead - 1), 1 / other) <= high + 1e-6
 
 
-def _list_pairs(token, ids, comp, n, pos, t: tuple[int, int]) -> Iterator[np.ndarray]:
-    """Pairs (a, b, ca, cb) that the lists of one partition leave, in pieces."""
+def _list_pairs(token, ids, comp, members, n, pos, t: tuple[int, int]) -> Iterator[np.ndarray]:
+    """(a, ca, cb) that the lists of one partition leave, in pieces: sets and the components, as large as theirs at least, of
+    sets that they may link with."""
     order = np.lexsort((comp, token))
     token, comp_ = token[order], comp[order]
     new = np.append(True, token[1:] != token[:-1])
@@ -242,14 +250,14 @@ def _list_pairs(token, ids, comp, n, pos, t: tuple[int, int]) -> Iterator[np.nda
     order, list_ = order[several[list_]], list_[several[list_]]
     if not len(order):
         return
-    ids, comp, n, pos = (x[order] for x in (ids, comp, n, pos))
+    ids, comp, members, n, pos = (x[order] for x in (ids, comp, members, n, pos))
     size = np.floor(np.log(n) * SIZES_A_RATIO / np.log(t[1] / t[0]) + 1e-9).astype(np.int64)
     place = np.minimum(pos * POSITIONS // n, POSITIONS - 1)
     comps, group = np.unique(comp, return_inverse=True)
     sizes, groups = int(size.max()) + SIZES_A_RATIO + 2, len(comps)
     key = ((list_ * sizes + size) * POSITIONS + place) * groups + group  # lists in blocks, a block by component
     order = np.argsort(key, kind="stable")
-    key, ids, comp, n, pos, place, group = (x[order] for x in (key, ids, comp, n, pos, place, group))
+    key, ids, comp, members, n, pos, place, group = (x[order] for x in (key, ids, comp, members, n, pos, place, group))
     classes = np.unique(place)
     for x in classes:
         src = np.flatnonzero(place == x)
@@ -269,16 +277,16 @@ def _list_pairs(token, ids, comp, n, pos, t: tuple[int, int]) -> Iterator[np.nda
                         ok = _needed(n[i], n[j], t) <= np.minimum(n[i] - pos[i], n[j] - pos[j])
                         i, j = i[ok], j[ok]
                         if len(i):
-                            yield np.stack([ids[i], ids[j], comp[i], comp[j]])
+                            small = (members[i] < members[j]) | ((members[i] == members[j]) & (comp[i] > comp[j]))
+                            a, b = np.where(small, i, j), np.where(small, j, i)
+                            yield np.stack([ids[a], comp[a], comp[b]])
 
 
 def _fold(pieces: list[np.ndarray]) -> np.ndarray:
-    """Equal pairs are one."""
+    """Equal candidates are one."""
     rows = np.concatenate(pieces, axis=1)
-    swap = rows[0] > rows[1]
-    rows[:, swap] = rows[:, swap][[1, 0, 3, 2]]
-    rows = rows[:, np.lexsort((rows[1], rows[0]))]
-    return rows[:, np.append(True, (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1]))]
+    rows = rows[:, np.lexsort((rows[2], rows[0]))]
+    return rows[:, np.append(True, (rows[0, 1:] != rows[0, :-1]) | (rows[2, 1:] != rows[2, :-1]))]
 
 
 def _candidates(t: tuple[int, int]):
@@ -365,6 +373,62 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE, t: tuple[i
     return rows.select("a", "block", "id", "text").mapInArrow(_verify(size, t), VERIFIED)
 
 
+LINKED = "a long, comp long"
+
+
+def _reaching(size: int, t: tuple[int, int]):
+    """Rows (comp, block, role, id, text) come sorted: a block of a component's sets, then the sets that probe it."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, hub = None, [], None
+        for batch in rows:
+            comps, blocks, roles, ids = (batch.column(i).to_pylist() for i in range(4))
+            sets = shingle_sets(text_bytes(batch.column(4)), size)
+            out: list[tuple[int, int]] = []
+            for c, block, role, i, s in zip(comps, blocks, roles, ids, sets, strict=True):
+                if key != (c, block):
+                    key, held, hub = (c, block), [], None
+                if role == 0:
+                    held.append(s)
+                    continue
+                if not held:
+                    continue
+                if hub is None:  # the first probe of a block
+                    hub = held[0]
+                    more, less = [np.setdiff1d(y, hub, True) for y in held], [np.setdiff1d(hub, y, True) for y in held]
+                    n, n_more, n_less = (np.array([len(x) for x in xs], np.int64) for xs in (held, more, less))
+                need = _needed(n, len(s), t)
+                need[need > np.minimum(n, len(s))] = 1 << 60  # sizes that cannot link
+                known = len(np.intersect1d(s, hub, True))
+                if (known - n_less >= need).any():
+                    out.append((i, c))
+                    continue
+                for k in np.flatnonzero(known + n_more >= need):
+                    if known + np.isin(more[k], s, True).sum() - np.isin(less[k], s, True).sum() >= need[k]:
+                        out.append((i, c))
+                        break
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "comp"])
+
+    return run
+
+
+def reaching(asked: DataFrame, place: DataFrame, texts: DataFrame, size: int = SHINGLE, t: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """(a, comp) of the candidates asked (a, cb) in which the set links with a set of the component. place: (id, comp, members);
+    texts: (id, text). A component is dealt in blocks of sets, each of which meets all sets that probe the component."""
+    spark = asked.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = asked.select(F.col("cb").alias("comp")).distinct()
+    members = place.join(wanted, "comp", "left_semi").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = members.groupBy("comp").agg(F.first("blocks").alias("blocks"))
+    probes = asked.select(F.col("a").alias("id"), F.col("cb").alias("comp")).join(sizes, "comp").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = ["id", "comp", "block"]
+    both = members.select(*columns, F.lit(0).alias("role")).unionByName(probes.select(*columns, F.lit(1).alias("role")))
+    rows = sized_join(texts, materialise(both, "jaccard-reaching"), "id", "inner").select("comp", "block", "role", "id", "text")
+    return rows.repartition(parts, "comp", "block").sortWithinPartitions("comp", "block", "role", "id").mapInArrow(_reaching(size, t), LINKED).distinct()
+
+
 WITHIN = {"pairs": VERIFIED, "sums": "id long, links long"}
 
 
@@ -478,13 +542,17 @@ def _components(df: DataFrame, size: int, t: tuple[int, int]) -> tuple[DataFrame
         place = _merged(place, at.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "jaccard-place")
 
     # every other link
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    indexed = sized_join(rows, place, "id", "inner").select("id", "comp", "text")
+    sizes = place.groupBy("comp").agg(F.count("*").alias("members"))
+    sized = materialise(place.join(sizes, "comp").select("id", "comp", "members"), "jaccard-sized")
+    least = F.ceil(F.lit(t[0]) * F.col("n") / F.lit(t[1]))
+    total = nodes.agg(F.sum(F.col("n") - least + 1)).first()[0] or 0
+    parts = max(2, -(-int(total) // PART_TOKENS))
+    indexed = sized_join(rows, sized, "id", "inner").select("id", "comp", "members", "text")
     blobs = indexed.mapInArrow(_postings(frequency, size, parts, t), POSTINGS)
     found = blobs.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(_candidates(t), CANDIDATES)
-    pairs = materialise(found.distinct(), "jaccard-candidates")
-    more = materialise(verified(pairs.select("a", "b", F.col("cb").alias("c")), rows, size, t), "jaccard-more")
-    joined = more.join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    asked = materialise(found.distinct(), "jaccard-candidates")
+    more = reaching(asked.select("a", "cb"), sized, rows, size, t).withColumnRenamed("comp", "cb")
+    joined = asked.join(more, ["a", "cb"], "left_semi").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     return summary, nodes, _merged(place, joined, "jaccard-final")
 
 
