@@ -53,7 +53,8 @@ def simhash_pairs(df: DataFrame, id_: str, text: str, bands: int = 4, min_lexica
     no pairs. Bands of 16 bits keep buckets small; a shared band is found with the probability that the hashes agree there."""
     rows = df.select(F.col(id_).alias("id"), t.latin_tokens(F.col(text)).alias("w"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("digest")).filter(F.size("w") >= least)
     nodes = rows.groupBy("digest").agg(F.min("id").alias("id"), F.first("w").alias("w"))
-    nodes = cut(nodes.select("id", scores.simhash64(scores.shingles(F.col("w"))).alias("h"), F.array_distinct("w").alias("w")), "simhash")
+    nodes = cut(nodes, "texts").select("id", scores.simhash64(scores.shingles(F.col("w"))).alias("h"), F.array_distinct("w").alias("w"))
+    nodes = cut(nodes, "simhash")
     keys = nodes.select("id", F.posexplode(scores.band_keys(F.col("h"), bands)).alias("band", "key"))
     pairs = keys.join(keys.withColumnRenamed("id", "dst"), ["band", "key"]).filter("id < dst").select(F.col("id").alias("src"), "dst").distinct()
     a, b = nodes.select(F.col("id").alias("src"), F.col("w").alias("wa")), nodes.select(F.col("id").alias("dst"), F.col("w").alias("wb"))

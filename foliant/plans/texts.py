@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions import entities, names, scores
 from foliant.functions import text as t
 from foliant.operators import categories, families, lifecycle, relational, store
+from foliant.operators.scratch import cut
 from foliant.plans import corpus
 from foliant.plans.corpus import ACTIVE, EPOCH, STAMP, files, sql, stamp
 from foliant.plans.queries import query, table
@@ -32,8 +33,8 @@ def j2_shingles(spark, d):
 
 @query()
 def j3_simhash(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", scores.shingles(t.latin_tokens(F.col("text"))).alias("runs"))
-    hashed = rows.select("doc_id", scores.simhash64("runs").alias("simhash"))
+    rows = cut(table(spark, d, "documents").select("doc_id", t.latin_tokens(F.col("text")).alias("w")), "tokens")  # else each run would split the text again
+    hashed = rows.select("doc_id", scores.simhash64(scores.shingles(F.col("w"))).alias("simhash"))
     return hashed.withColumn("bands", scores.band_keys(F.col("simhash")))
 
 
