@@ -172,52 +172,74 @@ META = "digest string, shard string, offset long, length long, width int, height
 FEATURES = META + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string"
 
 
-def _read(folder: str, schema: str, whole: bool):
+def _ranges(fs: pyarrow.fs.FileSystem, path: str):
+    """Reads so many bytes at an offset of a shard; the shard of the last read stays open."""
+    name, file = None, None
+
+    def read(shard: str, offset: int, size: int) -> bytes:
+        nonlocal name, file
+        if shard != name:
+            if file:
+                file.close()
+            name, file = shard, fs.open_input_file(f"{path}/{shard}")
+        file.seek(offset)
+        return file.read(size)
+
+    return read
+
+
+def _headers(folder: str):
+    """Addresses with what the first bytes of their payloads say: only those are read."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = pyarrow.fs.FileSystem.from_uri(folder)
-        name, file = None, None
+        read = _ranges(*pyarrow.fs.FileSystem.from_uri(folder))
         for batch in rows:
-            out = []
-            for digest, shard, offset, length in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if shard != name:
-                    if file:
-                        file.close()
-                    name, file = shard, fs.open_input_file(f"{path}/{shard}")
-                file.seek(offset)
-                data = file.read(length if whole else HEADER)
-                width, height, bits, _ = png_header(data[:HEADER])
-                row = [digest, shard, offset, length, width, height, bits]
-                if whole:
-                    payload = decode_png(data)
-                    sha = hashlib.sha256(payload).hexdigest()
-                    if sha != digest:
-                        raise ValueError(f"{shard} at {offset}: the payload is not what its digest says")
-                    row += [len(payload), sha, zlib.crc32(payload[-16:]), hashlib.sha256(data).hexdigest(), feature(payload, width)]
-                out.append(row)
-            yield pa.RecordBatch.from_pylist([dict(zip(_names(schema), x, strict=True)) for x in out], _arrow(schema))
+            heads = [png_header(read(shard, offset, HEADER)) for shard, offset in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            columns = [pa.array([h[i] for h in heads], pa.int32()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *columns], schema=_arrow(META))
 
     return run
 
 
-def _by_shard(places: DataFrame) -> DataFrame:
-    """Readers take stretches of shards in order of offset; a shard is of bounded size."""
-    n = max(2, int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return places.repartitionByRange(n, "shard", "offset").sortWithinPartitions("shard", "offset").select("digest", "shard", "offset", "length")
+def _payloads(folder: str):
+    """Rows of metadata with features of whole payloads, as read back."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _ranges(*pyarrow.fs.FileSystem.from_uri(folder))
+        for batch in rows:
+            out: list[tuple] = []
+            for digest, shard, offset, length, width, height, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = read(shard, offset, length)
+                payload = decode_png(data)
+                sha = hashlib.sha256(payload).hexdigest()
+                if sha != digest or len(payload) != width * height:
+                    raise ValueError(f"{shard} at {offset}: the payload is not what its digest or header says")
+                out.append((len(payload), sha, zlib.crc32(payload[-16:]), hashlib.sha256(data).hexdigest(), feature(payload, width)))
+            schema = _arrow(FEATURES)
+            columns = zip(*out, strict=True) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[7:], strict=True))], schema=schema)
+
+    return run
 
 
 def metadata(places: DataFrame, folder: str) -> DataFrame:
-    """Width, height and bits of each address by range reads of headers only."""
-    return _by_shard(places).mapInArrow(_read(folder, META, False), META)
+    """Width, height and bits of each address by range reads of headers only. Readers take stretches of shards in order of
+    offset; a shard is of bounded size."""
+    n = max(2, int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = places.repartitionByRange(n, "shard", "offset").sortWithinPartitions("shard", "offset").select("digest", "shard", "offset", "length")
+    return dealt.mapInArrow(_headers(folder), META)
 
 
-def features(places: DataFrame, folder: str) -> DataFrame:
-    """Header columns, and features of the payload as read back."""
-    return _by_shard(places).mapInArrow(_read(folder, FEATURES, True), FEATURES)
+def features(described: DataFrame, folder: str) -> DataFrame:
+    """metadata() rows with features of their payloads; the columns from headers stay as they are."""
+    return described.mapInArrow(_payloads(folder), FEATURES)
 
 
 def media_columns(df: DataFrame, key: str = "doc_id", text: str = "text", with_features: bool = True) -> DataFrame:
     """Every row with its digest, address and media columns."""
     stored, folder = store(df, key, text)
     places = addresses(stored)
-    columns = (features if with_features else metadata)(places, folder)
+    columns = metadata(places, folder)
+    if with_features:
+        columns = features(columns, folder)
     return stored.select("doc_id", "n_bytes", "digest").join(columns, "digest")
