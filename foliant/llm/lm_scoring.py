@@ -6,8 +6,11 @@ in numpy. A document's score is the sum over its words of log P(word | neighbour
 
 1. Vocabulary: a table of every distinct word of the corpus, by a 64-bit hash, with its count; it grows with the
    input and stays distributed. The most frequent words are tokens of their own; all others share classes by hash.
-2. Training: every task starts from the same seeded network and takes one pass of Adagrad steps over all
-   windows of its documents; networks are averaged, weighted by tokens, and the driver receives one vector.
+2. Training: documents, as one byte a token, are dealt to training shards by a hash of identifier and text; there is
+   a shard for every so many words of the corpus. Each shard starts from the same seeded network and takes one pass
+   of Adagrad steps over all its windows, in the order of the hash; networks are averaged, weighted by tokens, and
+   the driver receives one vector. What a shard holds and in which order is a matter of the documents alone, so any
+   layout of the input gives the same network, but for the last bits of sums.
 3. Scoring reads all documents again. The network gives P(class | neighbours), the counts of the whole corpus give
    P(word | class), so the probabilities of all words of the vocabulary sum to 1. Counts of the commonest words are
    held by every task, in a table of bounded size; the other occurrences meet theirs in a shuffled join.
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import LOWER, VECTORS, groups_of_texts, materialise, summed, text_bytes, vector_rows, word_hashes
+from foliant.llm.common import LOWER, VECTORS, groups_of_texts, materialise, mix, summed, text_bytes, vector_rows, word_hashes
 
 SKETCH = 1 << 18
 FREQUENT, CLASSES, WIDTH = 192, 64, 16
@@ -33,6 +36,9 @@ BATCH = 4096
 PLACES = (-2, -1, 1, 2)
 
 
+#: Words of the corpus a training shard, about; tokens that are trained on at once, in whole documents.
+SHARD_WORDS, BLOCK = 2_000_000, 1 << 16
+
 #: Distinct words that a counting task holds.
 HELD = 1 << 16
 
@@ -203,17 +209,56 @@ def windows(tokens: np.ndarray, first: np.ndarray, boundary: int) -> np.ndarray:
     return out
 
 
-def _train(vocabulary_, tokens: int):
+TOKENS = "shard long, at long, tokens binary"
+
+
+def _tokens(vocabulary_, shards: int):
+    """Documents with words as their tokens, one byte each, by training shard and place in it."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, net, seen = vocabulary_.value, Network(tokens), 0
-        squares = [np.full(s, 1e-4, np.float32) for s in net.shapes]
+        known = vocabulary_.value
         for batch in rows:
-            texts = text_bytes(batch.column(0))
+            texts, at = text_bytes(batch.column(1)), batch.column(0).to_numpy()
+            out = [b""] * len(texts)
             for run_ in groups_of_texts(texts):
                 words, first = _words([texts[i] for i in run_])
-                centre = known.tokens(words)
-                net.train(centre, windows(centre, first, tokens), squares)
-                seen += len(centre)
+                centre = known.tokens(words).astype(np.uint8)
+                for i, low, high in zip(run_, first[:-1], first[1:], strict=True):
+                    out[i] = centre[low:high].tobytes()
+            shard = (mix(at.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(at), pa.array(out, pa.binary())], names=[c.split()[0] for c in TOKENS.split(", ")])
+
+    return run
+
+
+def _train(tokens: int):
+    """Rows come sorted by shard and place: a network a shard."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, net, squares, held, size, seen = None, None, None, [], 0, 0
+
+        def flush() -> None:
+            first = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int64)
+            centre = np.frombuffer(b"".join(held), np.uint8).astype(np.int64)
+            net.train(centre, windows(centre, first, tokens), squares)
+
+        for batch in rows:
+            for at, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if at != shard:
+                    if size:
+                        flush()
+                    if seen:
+                        yield from vector_rows({"network": net.flat() * seen, "seen": np.array([float(seen)])})
+                    shard, net, held, size, seen = at, Network(tokens), [], 0, 0
+                    squares = [np.full(s, 1e-4, np.float32) for s in net.shapes]
+                held.append(data)
+                size += len(data)
+                seen += len(data)
+                if size >= BLOCK:
+                    flush()
+                    held, size = [], 0
+        if size:
+            flush()
         if seen:
             yield from vector_rows({"network": net.flat() * seen, "seen": np.array([float(seen)])})
 
@@ -254,7 +299,13 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", sketch: int =
     counts = materialise(texts.mapInArrow(_count, COUNTS).groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
     known, more = vocabulary(counts, sketch, frequent, classes)
     known, tokens = sc.broadcast(known), frequent + classes
-    trained = summed(texts.mapInArrow(_train(known, tokens), VECTORS))
+    if tokens > 256:
+        raise ValueError("a token is one byte: frequent and classes are at most 256 together")
+    shards = max(1, -(-int(counts.agg(F.sum("n")).first()[0] or 0) // SHARD_WORDS))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.select(F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("at"), F.col(text).alias("text")).mapInArrow(_tokens(known, shards), TOKENS)
+    dealt = dealt.repartition(max(parts, min(shards, 4 * parts)), "shard").sortWithinPartitions("shard", "at", "tokens")
+    trained = summed(dealt.mapInArrow(_train(tokens), VECTORS))
     weights = trained["network"] / trained["seen"][0] if trained else Network(tokens).flat()
     scored = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_score(known, tokens, sc.broadcast(weights.tobytes())), SCORES)
     if more:
