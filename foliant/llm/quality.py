@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import LOWER, VECTORS, groups_of_texts, materialise, mix, prefix_sums, ranked, sized_join, span_hashes, summed, text_bytes, vector_rows, words_of
+from foliant.llm.common import LOWER, VECTORS, groups_of_texts, materialise, mix, numbered, prefix_sums, ranked, sized_join, span_hashes, summed, text_bytes, vector_rows, words_of
 
 BUCKETS = 1 << 18
+NO_ID = -(1 << 63)
 PSEUDO = 20.0
 
 
@@ -142,8 +143,9 @@ def resample(df: DataFrame, labels: DataFrame, seed: int = 11, **options) -> Dat
 
 
 def kept_rows(df: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of df that the sample keeps. Rows that repeat an identifier stay or go with the best of them."""
-    names = df.columns
-    ids = materialise(resample(df, labels, **options).groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id")).agg(F.max("kept").alias("_kept")), "quality-kept")
-    rows = sized_join(df.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))), ids, "_id", "inner")
-    return rows.filter("_kept").select(*[F.col(f"`{c}`") for c in names])
+    """The rows of df that the sample keeps, with all their columns, whatever these are called. Rows that repeat an identifier
+    stay or go with the best of them."""
+    numbers = numbered(df, "doc_id", "text", whole=True)
+    best = resample(numbers.select("doc_id", "text"), labels, **options).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    kept = materialise(best.filter("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("at")), "quality-kept")
+    return sized_join(numbers.withColumn("at", F.coalesce("doc_id", F.lit(NO_ID))), kept, "at", "left_semi").select("row.*")

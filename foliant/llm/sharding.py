@@ -73,7 +73,8 @@ def shard(df: DataFrame, key: str, shards: Sequence[str], slots: int = SLOTS, sp
         part = F.pmod(key_hash(F.col(spread_by)), F.lit(spread)).cast("string")
         placed = F.concat(F.coalesce(placed, F.lit("")), F.lit("\x1f"), part)
     table = F.broadcast(table_frame(df.sparkSession, shards, slots))
-    rest = df.drop("slot", "shard").withColumn("slot", F.pmod(key_hash(placed), F.lit(slots)).cast("int"))
+    at = F.pmod(key_hash(placed), F.lit(slots)).cast("int").alias("slot")
+    rest = df.select(at, *[F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard")])  # the key may be one of these
     return rest.join(table, "slot", "left")
 
 
