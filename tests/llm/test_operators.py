@@ -1,4 +1,5 @@
-"""Every operator of the subpackage against brute force, on a fixture with nulls, empty and long texts, ties,
+"""Every operator of the subpackage against brute force (LM scoring: its gradient, its probabilities, and that any layout
+gives the same scores), on a fixture with nulls, empty and long texts, ties,
 repeated rows, an empty table, and extra columns whose names clash."""
 
 import hashlib
@@ -9,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.llm import components, exact_dedup, jaccard_join, lm_scoring, media, mixing, packing, preferences, quality, sharding, suffix_dedup
 
@@ -52,31 +54,71 @@ def test_sharding(spark, docs, none):
     assert len(got) == 17 and all(table[r["slot"]] == r["shard"] for r in got)
     assert all(r["slot"] == int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:15], 16) % 101 for r in got)
     assert sharding.shard(none, "doc_id", shards, 101).count() == 0
+    free, claims, turn = set(range(101)), {}, [0] * 7
+    orders = [[(sharding._number(f"offset {s}") + k * (sharding._number(f"skip {s}") % 100 + 1)) % 101 for k in range(101)] for s in shards]
+    while free:  # the shards take turns, each with its first free preference
+        for i in range(7):
+            if free:
+                slot = next(x for x in orders[i] if x in free)
+                claims[slot] = i
+                free.remove(slot)
+    assert [claims[x] for x in range(101)] == table
+    named = sharding.shard(docs.withColumnRenamed("doc_id", "slot"), "slot", shards, 101).collect()
+    assert Counter(r["shard"] for r in named) == Counter(r["shard"] for r in got)
     with pytest.raises(ValueError):
         sharding.lookup_table(shards, 100)
 
 
-def test_exact_dedup(docs, none):
-    want = {}
+def test_exact_dedup(spark, docs, none):
     groups = {}
     for i, t, *_ in fixture():
         groups.setdefault(lower(t), []).append(i)
+    want = Counter()
     for t, ids in groups.items():
-        for i in ids:
-            want[i] = (max(ids), len(ids), i == max(ids), hashlib.sha256(t).hexdigest())
+        want.update((i, max(ids), len(ids), i == max(ids) and at == ids.index(max(ids)), hashlib.sha256(t).hexdigest()) for at, i in enumerate(ids))
     got = exact_dedup.classes(docs).collect()
-    assert len(got) == 17 and all(tuple(r)[1:] == want[r[0]] for r in got)
+    assert Counter(map(tuple, got)) == want and sum(r.kept for r in got) == len(groups)
     assert sorted(r.doc_id for r in exact_dedup.deduplicated(docs).collect()) == sorted(max(g) for g in groups.values())
     assert exact_dedup.classes(none).count() == 0
-
-
-def test_trie_spills():
+    odd = spark.createDataFrame([(5, "a", 1), (5, "A", 2), (None, "a", 3), (None, "b", 4), (5, "c", 5)], "doc_id long, text string, _rows int")
+    odd = odd.withColumns({"row": odd["_rows"], "rep": odd["_rows"], "_keep": odd["_rows"]})
+    left = exact_dedup.deduplicated(odd)
+    assert left.columns == odd.columns and sorted(r["_rows"] for r in left.collect()) in ([1, 4, 5], [2, 4, 5])
+    assert sorted((r.keep_id or 0, r.group_size, r.kept) for r in exact_dedup.classes(odd).collect()) == [(0, 1, True), (5, 1, True), (5, 3, False), (5, 3, False), (5, 3, True)]
+
+
+def test_trie_shares_edges():
+    root = exact_dedup._Node(b"")
+    nodes = {k: exact_dedup.insert(root, k)[0] for k in (b"romane", b"romanus", b"romulus", b"rubens", b"", b"rom")}
+    assert [*root.children] == [114] and root.children[114].label == b"r" and nodes[b""] is root
+    assert nodes[b"rom"].label == b"om" and {c.label for c in nodes[b"rom"].children.values()} == {b"an", b"ulus"}
+    for k, node in nodes.items():
+        node.value = (0, 0, 1)
+        assert exact_dedup.insert(root, k)[0] is node
+    assert sorted(k for k, _ in exact_dedup.terminals(root)) == sorted(nodes)
+
+
+@pytest.mark.parametrize("budget", [2000, 60_000, 1 << 30])
+def test_trie_spills_by_subtree(tmp_path, budget):
+    """Classes and deciding rows are right whatever goes to files; texts that all begin alike spill below their common edge."""
     rng = random.Random(1)
-    keys = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(12))) for _ in range(3000)]
-    owner = exact_dedup.Owner(lambda a, b: a + b, 2000)
-    for k in keys:
-        owner.add((len(k), zlib.crc32(k) % 3), k, 1)
-    assert owner.spilled and {(k): n for _, k, n in owner.classes()} == Counter(keys)
+    keys = [b"common beginning " + bytes(rng.choice(b"ab") for _ in range(rng.randrange(12))) for _ in range(3000)]
+    owner = exact_dedup.Owner(f"file://{tmp_path}", budget)
+    rows = [(i, rng.choice([None, rng.randrange(500)]), rng.randrange(1, 4), k) for i, k in enumerate(keys)]
+    for row in rows:
+        owner.add(*row)
+    assert bool(owner.spilled) == (budget < 1 << 20) and all(n is not owner.root for n in owner.spilled)
+    want = {}
+    for i, identifier, n, k in rows:
+        best = want.setdefault(k, [(-2, 0), 0])
+        best[0] = max(best[0], (-1 if identifier is None else identifier, -i))
+        best[1] += n
+    got = dict(owner.classes())
+    assert len(got) == 3000
+    for i, _, _, k in rows:
+        (identifier, row), n = want[k]
+        assert got[i] == (None if identifier < 0 else identifier, -row, n)
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()]
 
 
 def test_jaccard_join(docs, none):
@@ -199,6 +241,30 @@ def test_media(docs, none):
     assert media.media_columns(none).count() == 0
 
 
+def test_media_headers_only(docs, tmp_path):
+    """Metadata columns come from header bytes alone: payloads that are overwritten do not matter to them, but to features."""
+    import struct
+
+    stored, folder = media.store(docs)
+    places = media.addresses(stored)
+    want = {r.digest: (r.width, r.height, r.bits) for r in media.metadata(places, folder).collect()}
+    for r in places.collect():
+        with open(f"{folder.removeprefix('file://')}/{r.shard}", "r+b") as f:
+            f.seek(r.offset + media.HEADER)
+            f.write(b"\0" * (r.length - media.HEADER))
+    assert {r.digest: (r.width, r.height, r.bits) for r in media.metadata(places, folder).collect()} == want and want
+    with pytest.raises(Exception):
+        media.features(media.metadata(places, folder), folder).collect()
+    for payload in (media.padded(b""), media.padded(b"x" * 5000), media.padded("é".encode() * 300)):
+        png = media.encode_png(payload)
+        assert png[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", png[16:24]) == (192, len(payload) // 192)
+        image = [payload[i : i + 192] for i in range(0, len(payload), 192)]
+        cells = [[[b for y, line in enumerate(image) if y * 8 // len(image) == i for x, b in enumerate(line) if x * 9 // 192 == j] for j in range(9)] for i in range(8)]
+        mean = [[sum(c) / max(1, len(c)) for c in row] for row in cells]
+        bits = "".join(str(int(mean[i][j + 1] > mean[i][j] + 1e-9 or mean[i][j + 1] - mean[i][j] > 0)) for i in range(8) for j in range(8))
+        assert media.feature(payload) == f"{int(bits, 2):016x}"
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs).collect()
     sizes = Counter()
@@ -299,6 +365,66 @@ def test_quality_held_out(spark, none):
     assert quality.kept_rows(docs, labels).columns == docs.columns
 
 
+def test_quality_brute_force(spark):
+    """Counts, weights, noise, ranks and the threshold, computed again in plain Python on a small table of buckets."""
+    rng = random.Random(16)
+    rows = [(i, " ".join(rng.choice(["the", "Sea", "buy!!", "now", "42"]) for _ in range(rng.randrange(1, 30)))) for i in range(60)] + [(60, None), (61, ""), (5, "the the sea"), (None, "now")]
+    labels = [(i, int(rng.random() < 0.5)) for i in range(0, 40)] + [(3, 1), (3, 0), (None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = quality.resample(df, spark.createDataFrame(labels, "doc_id long, quality int"), buckets=64).collect()
+    best = {}
+    for i, y in labels:
+        if i is not None:
+            best[i] = max(best.get(i, 0), y)
+    raw, target, grams = [0.0] * 64, [0.0] * 64, []
+    for i, t in rows:
+        bucket, _, n = quality.features([(t or "").encode()], 64)
+        grams.append((i, bucket.tolist(), int(n[0])))
+        for b in bucket.tolist():
+            raw[b] += 1
+            target[b] += best.get(i) == 1
+    ratio = [np.log((y + quality.PSEUDO) / (x * sum(target) / sum(raw) + quality.PSEUDO)) for x, y in zip(raw, target, strict=True)]
+    weights = Counter((i, n, round(sum(ratio[b] for b in bs), 9)) for i, bs, n in grams)
+    assert Counter((r.doc_id, r.n_words, round(r.log_weight, 9)) for r in got) == weights
+    for r in got:
+        u = (int(hashlib.md5(f"gumbel 11:{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+        assert r.perturbed == pytest.approx(r.log_weight - np.log(-np.log(u)))
+    order = sorted(got, key=lambda r: (-r.perturbed, r.doc_id is None, r.doc_id or 0))
+    assert sorted(r["rank"] for r in got) == list(range(len(rows)))
+    assert all(r["rank"] <= s["rank"] or r.perturbed == s.perturbed for r, s in zip(order, order[1:], strict=False))
+    scored = [(r.log_weight, best[r.doc_id]) for r in got if r.doc_id in best]
+    split = lambda t: np.mean([x >= t for x, y in scored if y]) + np.mean([x < t for x, y in scored if not y])
+    k = sum(r.kept for r in got)
+    assert {r["rank"] < k for r in got if r.kept} <= {True} and not [r for r in got if r["rank"] < k and not r.kept]
+    edges = sorted(float(np.sinh(np.floor(np.arcsinh(x) * quality.BINS) / quality.BINS)) for x, _ in scored)
+    cut = sorted((r.log_weight for r in got), reverse=True)
+    threshold = (cut[k - 1] + (cut[k] if k < len(cut) else cut[k - 1] - 1)) / 2
+    assert split(threshold) >= max(split(e) for e in edges) - 1e-9
+
+
+def test_quality_keeps_columns(spark):
+    df = spark.createDataFrame([(1, "good text", 1, 2), (1, "bad", 3, 4), (None, "x", 5, 6)], "doc_id long, text string, _id int, _kept int").withColumnRenamed("_id", "row")
+    kept = quality.kept_rows(df, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert kept.columns == df.columns and {tuple(r) for r in kept.collect()} <= {tuple(r) for r in df.collect()}
+
+
+def test_lm_any_layout(spark):
+    """The network, and so every score, is a matter of the documents, not of how they lie in partitions."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randrange(60)))) for i in range(300)] + [(None, "alpha beta"), (7, None), (7, "beta")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = [sorted((str(r.doc_id), r.n_tokens, round(r.log_likelihood, 6)) for r in lm_scoring.score(x).collect()) for x in (df.coalesce(1), df.repartition(7), df.orderBy(F.rand(3)))]
+    assert scores[0] == scores[1] == scores[2]
+
+
+def test_lm_shards_follow_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD_WORDS", 500)
+    rows = [(i, " ".join(WORDS[(i + k) % 24] for k in range(100))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = (sorted((r.doc_id, round(r.log_likelihood, 6)) for r in lm_scoring.score(x).collect()) for x in (df.coalesce(1), df.repartition(5)))
+    assert a == b
+
+
 def test_lm_scoring(spark, docs, none):
     got = lm_scoring.score(docs, sketch=1 << 10).collect()
     n = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, *_ in fixture()}
