@@ -7,11 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.functions import scores
+from foliant.functions import names, scores
 from foliant.functions import text as t
 from foliant.operators import families, graph, relational, search, vectors
 from foliant.plans.queries import QUERIES
-from foliant.sources import markup
+from foliant.sources import archives, markup
 from foliant.streaming import events
 
 
@@ -19,10 +19,29 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize(("name", "marker", "stem"), [("rapport_v2.txt", 2, "rapport"), ("budget (1).xlsx", 1, "budget"), ("rapport_final.doc", 0, "rapport"), ("notes.txt", 0, "notes")])
+VERSIONS = [
+    ("rapport_v2.txt", ("number", "2"), "rapport"), ("budget (1).xlsx", ("number", "1"), "budget"), ("rapport_final.doc", None, "rapport"), ("notes.txt", None, "notes"),
+    ("plan 2023-05-07.pdf", ("date", "2023-05-07"), "plan"), ("07.05.2023 plan_v3.pdf", ("date", "2023-05-07"), "07 05 2023 plan"), ("plan_07-05-2023_v3.pdf", ("date", "2023-05-07"), "plan"),
+    ("data.tar.gz", None, "data"), ("x final v2 (3) copy.md", ("number", "3"), "x"), ("12345.txt", None, ""), ("a" + "1234567890" * 6 + "b.txt", None, "a" + "1234567890" * 6 + "b"), ("Résumé REV. 12.docx", ("number", "12"), "résumé"),
+]
+
+
+@pytest.mark.parametrize(("name", "marker", "stem"), VERSIONS)
 def test_versions(spark, name, marker, stem):
-    assert one(spark, t.version_marker(F.lit(name))) == marker
-    assert one(spark, t.version_stem(F.lit(name))) == stem
+    found = one(spark, names.version_marker(F.lit(name)))
+    assert (found and (found["kind"], found["value"])) == marker
+    assert one(spark, names.version_stem(F.lit(name))) == stem
+
+
+def test_names(spark):
+    assert [one(spark, names.safe_member(F.lit(x))) for x in ("a/b", "./a//b", "a\\b", "/a", "C:x", "a/../b", "a\0", "", ".", " ")] == ["a/b", "a/b", "a/b", None, None, None, None, None, None, None]
+    assert [archives.safe_name(x) for x in ("a/b", "./a//b", "a\\b", "/a", "C:x", "a/../b", "a\0", "", ".", " ")] == ["a/b", "a/b", "a/b", None, None, None, None, None, None, None]
+    assert one(spark, names.suffix(F.lit("A.B.PDF"))) == ".pdf" and one(spark, names.suffix(F.lit(".bashrc"))) == ""
+    assert one(spark, names.priority(F.lit(".zzz"), F.lit("ma Facture"))) == "critical"
+    hit = lambda folder: one(spark, names.excluded_by_user(F.lit(folder), ["tmp*", "/data/raw", "*/keep?"]))
+    assert [hit(x) for x in ("/x/TMP1", "/x/tmp1/y", "/data/raw/a", "/data/rawer", "/z/keep1", "/z/keep")] == [True, False, True, False, True, False]
+    assert one(spark, names.header_value(F.lit("From: a\n\nTo: b"), "to")) is None
+    assert one(spark, names.citations(F.lit("[D1] [E2:p4] [D1] [X3]"))) == ["D1", "E2"]
 
 
 def test_personal_data(spark):
@@ -107,9 +126,12 @@ def test_simhash(spark):
 
 
 def test_version_families(spark):
-    rows = spark.createDataFrame([(1, "d", "plan_v2.txt"), (2, "d", "plan_v1.txt"), (3, "e", "plan_v1.txt"), (4, "d", "memo.txt"), (5, "d", "memo (1).txt")], "id long, dir string, name string")
-    got = {r["id"]: (r["confidence"], r["rank"], r["is_primary"]) for r in families.version_families(rows, "dir", "name", "id").collect()}
-    assert got == {2: ("HIGH", 0, False), 1: ("HIGH", 1, True), 4: ("UNORDERED", 0, False), 5: ("UNORDERED", 1, True)}
+    rows = [(1, "/d", "plan_v2.txt"), (2, "/d", "plan_v10.txt"), (3, "/d", "plan.txt"), (4, "/d", "memo_final.txt"), (5, "/d", "memo.txt"), (6, "/e", "plan_v1.txt"), (7, "/d", "x y.txt"), (8, "/d", "x-y.txt")]
+    df = spark.createDataFrame([(*r, f"2024-01-0{9 - r[0]}") for r in rows], "id long, folder string, name string, at string")
+    got = {r["id"]: (r["stem"], r["confidence"], r["rank"], r["is_primary"]) for r in families.version_families(df, "folder", "name", "id", "at").collect()}
+    assert got == {1: ("plan", "HIGH", 0, False), 2: ("plan", "HIGH", 1, False), 3: ("plan", "HIGH", 2, True), 4: ("memo", "MEDIUM", 1, True), 5: ("memo", "MEDIUM", 0, False), 7: ("x y", "UNORDERED", 1, True), 8: ("x y", "UNORDERED", 0, False)}
+    near = spark.createDataFrame([(7, 8), (1, 7)], "src long, dst long")
+    assert {r["confidence"] for r in families.version_families(df, "folder", "name", "id", "at", near).filter("stem = 'x y'").collect()} == {"MEDIUM"}
 
 
 def test_kmeans(spark):
