@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import occurrences, tokens
+from foliant.functions.text import spaced, spaced_count, spaced_size, tokens
 from foliant.operators.scratch import cut
 
 K1, B = 1.2, 0.75
@@ -90,20 +90,18 @@ def bm25(df: DataFrame, terms: Sequence[str], id_: str = "doc_id", text: str = "
     """(id, score) of documents that hold every term. Texts are read once: the counts of each, a few numbers, are written
     down, and the corpus' statistics come from them."""
     terms = list(dict.fromkeys(terms))
-    rows = df.select(id_, tokens(F.col(text)).alias("words"))
-    rows = cut(rows.select(id_, F.size("words").alias("len"), *[occurrences(F.col("words"), t).alias(f"tf{i}") for i, t in enumerate(terms)]), "bm25")
+    rows = df.select(id_, spaced(F.col(text)).alias("s"))
+    rows = cut(rows.select(id_, spaced_size(F.col("s")).alias("len"), *[spaced_count(F.col("s"), t).alias(f"tf{i}") for i, t in enumerate(terms)]), "bm25")
     return _scored(rows, id_, len(terms))
 
 
 def full_text(df: DataFrame, query: Query, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, score) by BM25 of documents that satisfy a query. A prefix is a term whose documents are those with any word
     that begins so; a phrase is a term whose occurrences are its places."""
-    rows = df.select(id_, tokens(F.col(text)).alias("words"))
-    counts = [F.size(F.filter("words", _begins(p))) for p in query.prefixes] + [occurrences(F.col("words"), e) for e in query.exact]
-    for phrase in query.phrases:
-        joined = F.concat(F.lit(" "), F.array_join("words", "  "), F.lit(" "))  # each word has its own blanks
-        counts.append(((F.length(joined) - F.length(F.replace(joined, F.lit(" " + "  ".join(phrase) + " ")))) / (len("  ".join(phrase)) + 2)).cast("long"))
-    rows = cut(rows.select(id_, F.size("words").alias("len"), *[c.alias(f"tf{i}") for i, c in enumerate(counts)]), "search")
+    rows = df.select(id_, spaced(F.col(text)).alias("s"))
+    counts = [spaced_count(F.col("s"), p, True) for p in query.prefixes] + [spaced_count(F.col("s"), e) for e in query.exact]
+    counts += [spaced_count(F.col("s"), "  ".join(phrase)) for phrase in query.phrases]
+    rows = cut(rows.select(id_, spaced_size(F.col("s")).alias("len"), *[c.alias(f"tf{i}") for i, c in enumerate(counts)]), "search")
     return _scored(rows, id_, len(counts))
 
 

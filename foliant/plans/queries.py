@@ -246,8 +246,8 @@ SELECT doc_id, p1, p2, round(coalesce(1.0::DOUBLE / (60 + p1), 0) + coalesce(1.0
 def d24_rank_fusion(spark, d):
     docs = table(spark, d, "documents")
     first = search.top(search.bm25(docs, PROBE_TERMS), "score", "doc_id", 50)
-    words = docs.select("doc_id", t.tokens(F.col("text")).alias("w"))
-    density = words.select("doc_id", t.occurrences(F.col("w"), "the").alias("a"), F.size("w").alias("n")).filter("a > 0").select("doc_id", F.round(F.col("a") / F.col("n"), 6).alias("score"))
+    words = docs.select("doc_id", t.spaced(F.col("text")).alias("s"))
+    density = words.select("doc_id", t.spaced_count(F.col("s"), "the").alias("a"), t.spaced_size(F.col("s")).alias("n")).filter("a > 0").select("doc_id", F.round(F.col("a") / F.col("n"), 6).alias("score"))
     return search.rrf(first, search.top(density, "score", "doc_id", 50), "doc_id")
 
 
@@ -261,8 +261,8 @@ def d32_chunks(spark, d):
   len(regexp_extract_all(coalesce(text, ''), '{t.CARD}')) AS card_like, len(regexp_extract_all(coalesce(text, ''), '{t.ISO_DATE}')) AS dates FROM documents""")
 def k2_personal_data_counts(spark, d):
     text = F.col("text")
-    count = lambda p: F.size(t.matches(text, p)).cast("long")
-    return table(spark, d, "documents").select("doc_id", count(t.EMAIL).alias("emails"), count(t.IPV4).alias("addresses"), count(t.CARD).alias("card_like"), count(t.ISO_DATE).alias("dates"))
+    count = lambda p: F.coalesce(F.regexp_count(text, F.lit(p)), F.lit(0)).cast("long")
+    return table(spark, d, "documents").select("doc_id", F.when(F.contains(text, F.lit("@")), count(t.EMAIL)).otherwise(F.lit(0).cast("long")).alias("emails"), count(t.IPV4).alias("addresses"), count(t.CARD).alias("card_like"), count(t.ISO_DATE).alias("dates"))
 
 
 @query(rf"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{t.EMAIL}')) AS v FROM documents)
