@@ -28,8 +28,10 @@ def batches(spark: SparkSession) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table; dealt over all cores if its file has fewer parts than there are cores."""
     batches(spark)
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, cores = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -8,12 +8,14 @@ A completion's mask lists the character ranges that a model is trained on: the c
 the end mark after it, never a user's or a system's words.
 
 Sorting is a distributed range sort on whole contents and identifier, so an opening that a third of all
-conversations share is dealt over many tasks; ranks within an opening are differences of global ranks.
+conversations share is dealt over many tasks; ranks within an opening are differences of global ranks, and pairs are
+gathered by the global rank of their first conversation.
 
 Defined cases: null turn texts and roles render as empty; an opening that one conversation has, and the last of
 an odd number, give a row without a rejected side (the whole conversation after its first turn is the chosen
 completion); equal conversations have empty completions; repeated (conversation, turn) rows follow each other
-by role and text; an empty table gives an empty table.
+by role and text; turns with a null conversation are one conversation; extra columns do not matter; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import materialise, ranked
+from foliant.llm.common import materialise, ranked, sized_join
 
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
 
@@ -68,9 +70,10 @@ def preference_pairs(df: DataFrame, score=assistant_chars) -> DataFrame:
     order = [F.col("opening"), F.col("content"), F.col("conv_id")]
     sorted_ = ranked(conversations(df), order, "rank", "conversations")
     starts = materialise(sorted_.groupBy("opening").agg(F.min("rank").alias("start")), "openings")
-    paired = sorted_.join(starts, "opening").withColumn("nth", F.floor((F.col("rank") - F.col("start")) / 2))
+    # the rank of a pair's first conversation numbers the pair over all openings, so pairs are dealt by it, not by opening
+    paired = sized_join(sorted_, starts, "opening", "inner").withColumn("pair", F.col("rank") - (F.col("rank") - F.col("start")) % 2)
     side = F.struct(-score(F.col("turns")), F.col("conv_id").alias("conv_id"), F.col("turns").alias("turns"))
-    pairs = paired.groupBy("opening", "nth").agg(F.sort_array(F.collect_list(side)).alias("s"))
+    pairs = paired.groupBy("pair").agg(F.sort_array(F.collect_list(side)).alias("s"))
     a, b = F.col("s")[0], F.get("s", F.lit(1))
     pairs = pairs.select(a["conv_id"].alias("chosen_id"), b["conv_id"].alias("rejected_id"), a["turns"].alias("a"), b["turns"].alias("b"), (F.size("s") == 2).alias("both"))
     pairs = pairs.withColumn("n", F.when(F.col("both"), common_turns(F.col("a"), F.col("b"))).otherwise(1))

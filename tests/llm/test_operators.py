@@ -487,3 +487,41 @@ def test_packing_many_of_one_length(spark):
         ends[r.sequence_id] = r.offset + r.length
     assert max(ends.values()) <= 512 and len(ends) == -(-sum(r.length for r in got) // 512)
     assert Counter(r.doc_id for r in got if r.doc_id < 4000) == Counter(range(4000))
+
+
+def test_preferences_brute_force(spark):
+    """Pairs, prefixes, renderings and masks of many conversations, computed again in plain Python: a hot opening, equal
+    conversations, repeated turns, a null conversation, extra columns with clashing names."""
+    rng = random.Random(15)
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", "hot" if t == 0 and c % 3 else rng.choice("abc")) for c in range(60) for t in range(rng.randrange(1, 5))]
+    rows += [(None, 0, "user", "hot"), (None, 0, "user", "again"), (None, 1, "assistant", None), (7, 0, "user", "hot")]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, turn long, role string, text string, rank int, opening int").repartition(3)
+    talks = {}
+    for c, t, role, text in rows:
+        talks.setdefault(c, []).append((t, role or "", text or ""))
+    talks = {c: [x[1:] for x in sorted(ts)] for c, ts in talks.items()}
+    content = lambda c: "".join(f"{r}\x1f{x}\x1e" for r, x in talks[c])
+    groups = {}
+    for c in talks:
+        groups.setdefault(talks[c][0], []).append(c)
+    shown = lambda ts: "".join(f"<|{r}|>\n{x}<|end|>\n" for r, x in ts)
+
+    def mask(ts):
+        out, at = [], 0
+        for r, x in ts:
+            at += len(r) + 5
+            if r == "assistant":
+                out.append(f"{at}-{at + len(x) + 8}")
+            at += len(x) + 8
+        return ",".join(out)
+
+    order = lambda c: (content(c), c is not None, c or 0)
+    want = set()
+    for members in groups.values():
+        members.sort(key=order)
+        for i in range(0, len(members), 2):
+            pair = sorted(members[i : i + 2], key=lambda c: (-sum(len(x) for r, x in talks[c] if r == "assistant"), c is not None, c or 0))
+            a, b = talks[pair[0]], talks[pair[1]] if len(pair) > 1 else None
+            k = 1 if b is None else next((j for j, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+            want.add((pair[0], pair[1] if b is not None else None, k, shown(a[:k]), shown(a[k:]), None if b is None else shown(b[k:]), mask(a[k:]), None if b is None else mask(b[k:])))
+    assert {tuple(r) for r in preferences.preference_pairs(df).collect()} == want
