@@ -30,6 +30,13 @@ def cut(df: DataFrame, tag: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan dealt over all cores if its input has fewer parts than there are cores, as a small file is one part whatever
+    its rows cost; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def in_order(df: DataFrame, order, name: str = "place") -> DataFrame:
     """df with a dense 0-based place in the given order, without one task that sorts all: ranges are sorted and written, and
     the rows of the ranges before are added."""

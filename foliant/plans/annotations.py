@@ -6,39 +6,35 @@ from pyspark.sql import functions as F
 
 from foliant.functions import findings, language
 from foliant.functions import text as t
-from foliant.operators import categories, lifecycle
-from foliant.plans.queries import query, table
+from foliant.operators import lifecycle
+from foliant.plans.queries import query, table, texts
 
 
 @query(language.sql())
 def k1_language(spark, d):
-    rows = language.detect(table(spark, d, "documents").select("doc_id", "text"))
+    rows = language.detect(texts(spark, d).select("doc_id", "text"))
     return rows.select("doc_id", "words", "lang", "status")
 
 
 @query()
 def k2_findings(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.explode(findings.find()("text")).alias("f"))
+    rows = texts(spark, d).select("doc_id", F.explode(findings.find()("text")).alias("f"))
     return rows.select("doc_id", "f.*")
 
 
 @query()
 def k16_redaction(spark, d):
-    return table(spark, d, "documents").select("doc_id", findings.redact("text").alias("redacted"))
+    return texts(spark, d).select("doc_id", findings.redact("text").alias("redacted"))
 
 
 @query()
 def k17_preview(spark, d):
     """The first 4,000 characters of every text, redacted, and the findings in them."""
     text = F.coalesce("text", F.lit(""))
-    rows = table(spark, d, "documents").select("doc_id", F.left(text, F.lit(4000)).alias("shown"), (F.length(text) > 4000).alias("truncated"))
+    rows = texts(spark, d).select("doc_id", F.left(text, F.lit(4000)).alias("shown"), (F.length(text) > 4000).alias("truncated"))
     return rows.select("doc_id", findings.redact("shown").alias("redacted"), F.size(findings.find()("shown")).alias("findings"), "truncated", F.length("shown").alias("chars"))
 
 
-_TOPICS = {"time": ["time", "day", "year"], "people": ["people", "man", "woman"], "place": ["place", "world", "city"], "function": ["the", "of", "and"]}
-_HITS = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, n, " + " + ".join(f"list_contains(w, '{k}')::INTEGER" for k in ks) + " AS hits FROM w" for c, ks in _TOPICS.items())
-
-
 @query("SELECT conv_id, turn, 'thread:' || substr(sha1(coalesce(NULLIF(role, ''), conv_id::VARCHAR)), 1, 16) AS thread_key FROM conversations")
 def j28_thread_key(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", lifecycle.thread_key(F.col("role"), F.col("conv_id").cast("string")).alias("thread_key"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import names
 from foliant.functions import text as t
+from foliant.operators.scratch import spread
 
 EXTENSIONS = (".pdf", ".docx", ".txt", ".md", ".html", ".csv", ".py", ".jpg", ".eml", ".xlsx", ".log", ".json")
 STEMS = ("report", "invoice", "contrat", "field note", "plan-b", "Facture client")
@@ -32,10 +33,12 @@ def _hours(after):
     return F.timestamp_add("HOUR", after, F.lit(EPOCH).cast("timestamp"))
 
 
-def files(spark, d) -> DataFrame:
+def files(spark, d, heavy: bool = False) -> DataFrame:
+    """heavy: for what costs much a row."""
     i = F.col("id")
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content_text"), F.col("n_chars").alias("size_bytes"), "lang", "source")
+    docs = table(spark, d, "documents")
+    rows = (spread(docs) if heavy else docs).select(F.col("doc_id").alias("id"), F.col("text").alias("content_text"), F.col("n_chars").alias("size_bytes"), "lang", "source")
     member = i % 13 == 5
     rows = rows.withColumns({"extension": F.when(i % 13 == 0, ".zip").otherwise(_nth(EXTENSIONS, i % 12)), "_stem": _nth(STEMS, F.floor(i / 6) % 6)})
     ending = F.when(i % 6 == 0, F.concat(F.lit("_v"), (i % 9 + 1).cast("string"))).when(i % 6 == 1, "_final").when(i % 6 == 2, F.concat(F.lit(" 2023-"), two(i % 12 + 1), F.lit("-"), two(i % 28 + 1)))
@@ -119,7 +122,7 @@ def pii(spark, d) -> DataFrame:
     """(file_id, pii_type, severity, masked, count): a row a document, type and value, for the types that SQL can check."""
     text = F.col("content_text")
     kinds = F.create_map(*[x for kind, p in (("email", t.EMAIL), ("ip", t.IPV4), ("card", t.CARD)) for x in (F.lit(kind), t.matches(text, p))])
-    found = files(spark, d).select("id", F.explode(kinds).alias("pii_type", "all")).select(F.col("id").alias("file_id"), "pii_type", F.explode("all").alias("v"))
+    found = files(spark, d, True).select("id", F.explode(kinds).alias("pii_type", "all")).select(F.col("id").alias("file_id"), "pii_type", F.explode("all").alias("v"))
     severity = F.when(F.col("pii_type") == "email", "medium").when(F.col("pii_type") == "ip", "low").otherwise("high")
     return found.groupBy("file_id", "pii_type", F.sha2("v", 256).alias("fingerprint")).agg(F.count("*").alias("hits")).withColumn("severity", severity)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions import scores
 from foliant.functions import text as t
 from foliant.operators import families, relational
-from foliant.plans.queries import _TERMS, query, table
+from foliant.plans.queries import _TERMS, query, table, texts
 
 
 @query("SELECT page_id, url FROM pages WHERE starts_with(url, 'https://')")
@@ -111,7 +111,7 @@ def g11_second_difference(spark, d):
 s AS (SELECT doc_id, c.term, round(tf::DOUBLE / len(w)::DOUBLE * (ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + df)::DOUBLE) + 1), 6) AS score FROM c JOIN g USING (term) JOIN w USING (doc_id))
 SELECT doc_id, term, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS place FROM s QUALIFY place <= 10""")
 def j12_tfidf(spark, d):
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d)
     words = docs.select("doc_id", t.tokens(F.col("text")).alias("w"))
     counts = words.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     total = docs.agg(F.count("*").alias("docs"))  # one row

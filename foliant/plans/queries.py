@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as t
 from foliant.operators import graph, relational, search, vectors
+from foliant.operators.scratch import cut, spread
 from foliant.sources import markup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for what costs much a row."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 # --- aggregates -----------------------------------------------------------------------------------------
 
 
@@ -199,7 +205,7 @@ a AS (SELECT lang, sum(tf) AS words FROM c GROUP BY 1), g AS (SELECT term, sum(t
 s AS (SELECT c.lang, c.term, round(tf::DOUBLE / words::DOUBLE * ln(1 + (SELECT sum(words)::DOUBLE / count(*) FROM a) / f::DOUBLE), 6) AS score FROM c JOIN a USING (lang) JOIN g USING (term))
 SELECT lang, term, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, term) AS place FROM s QUALIFY place <= 10""")
 def j13_class_tfidf(spark, d):
-    terms = table(spark, d, "documents").select("lang", F.explode(t.tokens(F.col("text"))).alias("term"))
+    terms = texts(spark, d).select("lang", F.explode(t.tokens(F.col("text"))).alias("term"))
     counts = terms.groupBy("lang", "term").agg(F.count("*").alias("tf"))
     words = counts.groupBy("lang").agg(F.sum("tf").alias("words"))
     mean = words.agg((F.sum("words").cast("double") / F.count("*")).alias("mean"))
@@ -217,7 +223,7 @@ r AS (SELECT doc_id, round(ln((docs - da + 0.5::DOUBLE) / (da + 0.5::DOUBLE) + 1
 
 @query(f"WITH {_BM25} SELECT doc_id, score FROM r")
 def d2_bm25_search(spark, d):
-    return search.bm25(table(spark, d, "documents"), PROBE_TERMS)
+    return search.bm25(texts(spark, d), PROBE_TERMS)
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'tion of the')")
@@ -244,10 +250,11 @@ def d9_relevance(spark, d):
 y AS (SELECT doc_id, row_number() OVER (ORDER BY round(a / len, 6) DESC, doc_id) AS p2 FROM n WHERE a > 0 QUALIFY p2 <= 50)
 SELECT doc_id, p1, p2, round(coalesce(1.0::DOUBLE / (60 + p1), 0) + coalesce(1.0::DOUBLE / (60 + p2), 0), 8) AS score FROM x FULL JOIN y USING (doc_id)""")
 def d24_rank_fusion(spark, d):
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d)
     first = search.top(search.bm25(docs, PROBE_TERMS), "score", "doc_id", 50)
     words = docs.select("doc_id", t.spaced(F.col("text")).alias("s"))
-    density = words.select("doc_id", t.spaced_count(F.col("s"), "the").alias("a"), t.spaced_size(F.col("s")).alias("n")).filter("a > 0").select("doc_id", F.round(F.col("a") / F.col("n"), 6).alias("score"))
+    counts = cut(words.select("doc_id", t.spaced_count(F.col("s"), "the").alias("a"), t.spaced_size(F.col("s")).alias("n")), "density")
+    density = counts.filter("a > 0").select("doc_id", F.round(F.col("a") / F.col("n"), 6).alias("score"))
     return search.rrf(first, search.top(density, "score", "doc_id", 50), "doc_id")
 
 
@@ -262,7 +269,7 @@ def d32_chunks(spark, d):
 def k2_personal_data_counts(spark, d):
     text = F.col("text")
     count = lambda p: F.coalesce(F.regexp_count(text, F.lit(p)), F.lit(0)).cast("long")
-    return table(spark, d, "documents").select("doc_id", F.when(F.contains(text, F.lit("@")), count(t.EMAIL)).otherwise(F.lit(0).cast("long")).alias("emails"), count(t.IPV4).alias("addresses"), count(t.CARD).alias("card_like"), count(t.ISO_DATE).alias("dates"))
+    return texts(spark, d).select("doc_id", F.when(F.contains(text, F.lit("@")), count(t.EMAIL)).otherwise(F.lit(0).cast("long")).alias("emails"), count(t.IPV4).alias("addresses"), count(t.CARD).alias("card_like"), count(t.ISO_DATE).alias("dates"))
 
 
 @query(rf"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{t.EMAIL}')) AS v FROM documents)

@@ -35,7 +35,7 @@ found AS (SELECT id, round({_tf(0)} + {_tf(1)}, 6) AS score FROM counts, stats W
 
 
 def _full_text(spark, d):
-    return search.full_text(files(spark, d), search.parse_query('"of the" re'), "id", "content_text")
+    return search.full_text(files(spark, d, True), search.parse_query('"of the" re'), "id", "content_text")
 
 
 @query(sql(f"WITH {_FULL} SELECT id, score, row_number() OVER (ORDER BY score DESC, {_RANK}, modified_at DESC NULLS LAST, id) AS place FROM found JOIN files USING (id) WHERE {ACTIVE} AND file_type IN ('document', 'code', 'other') QUALIFY place <= 50"))

@@ -11,7 +11,7 @@ from foliant.operators import categories, families, lifecycle, relational, store
 from foliant.operators.scratch import cut
 from foliant.plans import corpus
 from foliant.plans.corpus import ACTIVE, EPOCH, STAMP, files, sql, stamp
-from foliant.plans.queries import query, table
+from foliant.plans.queries import query, table, texts
 from foliant.sources import markup
 
 LATIN = f"regexp_extract_all(lower(coalesce(content_text, '')), '{t.LATIN}')"
@@ -21,19 +21,19 @@ LATIN = f"regexp_extract_all(lower(coalesce(content_text, '')), '{t.LATIN}')"
 
 @query(f"WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{t.LATIN}') AS w FROM documents) SELECT doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_distinct FROM w")
 def j1_token_counts(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", t.latin_tokens(F.col("text")).alias("w"))
+    rows = texts(spark, d).select("doc_id", t.latin_tokens(F.col("text")).alias("w"))
     return rows.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
 
 
 @query(f"WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{t.LATIN}') AS w FROM documents) SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 ELSE len(list_distinct(list_transform(range(greatest(len(w) - 4, 0) + 1), lambda i: array_to_string(w[i + 1:i + 4], ' ')))) END AS n_shingles FROM w")
 def j2_shingles(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", t.latin_tokens(F.col("text")).alias("w"))
+    rows = texts(spark, d).select("doc_id", t.latin_tokens(F.col("text")).alias("w"))
     return rows.select("doc_id", F.size(scores.shingles(F.col("w"))).cast("long").alias("n_shingles"))
 
 
 @query()
 def j3_simhash(spark, d):
-    rows = cut(table(spark, d, "documents").select("doc_id", t.latin_tokens(F.col("text")).alias("w")), "tokens")  # else each run would split the text again
+    rows = cut(texts(spark, d).select("doc_id", t.latin_tokens(F.col("text")).alias("w")), "tokens")  # else each run would split the text again
     hashed = rows.select("doc_id", scores.simhash64(scores.shingles(F.col("w"))).alias("simhash"))
     return hashed.withColumn("bands", scores.band_keys(F.col("simhash")))
 
@@ -335,7 +335,7 @@ def k15_sensitive(spark, d):
 
 @query(entities.entities_sql("documents", "doc_id", "text"))
 def k18_entities(spark, d):
-    return entities.entities(table(spark, d, "documents"), "doc_id", "text")
+    return entities.entities(texts(spark, d), "doc_id", "text")
 
 
 _KEYWORD_HITS = " UNION ALL ".join(
