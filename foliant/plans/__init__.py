@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from foliant.plans import annotations, containers, galaxy, intelligence, queries, records, retrieval, store, texts  # noqa: F401  each registers its queries
+from foliant.plans import annotations, containers, galaxy, intelligence, output, queries, records, retrieval, store, texts  # noqa: F401  each registers its queries
