@@ -188,58 +188,61 @@ def _ranges(fs: pyarrow.fs.FileSystem, path: str):
     return read
 
 
-def _headers(folder: str):
-    """Addresses with what the first bytes of their payloads say: only those are read."""
+def _described(read, batch: pa.RecordBatch) -> tuple[list, list[pa.Array]]:
+    """What the first bytes of payloads say, by range reads of those bytes only; and as columns."""
+    heads = [png_header(read(shard, offset, HEADER)) for shard, offset in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+    return heads, [pa.array([h[i] for h in heads], pa.int32()) for i in range(3)]
+
 
+def _headers(folder: str):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = _ranges(*pyarrow.fs.FileSystem.from_uri(folder))
         for batch in rows:
-            heads = [png_header(read(shard, offset, HEADER)) for shard, offset in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            columns = [pa.array([h[i] for h in heads], pa.int32()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *columns], schema=_arrow(META))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *_described(read, batch)[1]], schema=_arrow(META))
 
     return run
 
 
 def _payloads(folder: str):
-    """Rows of metadata with features of whole payloads, as read back."""
+    """Header columns first, as in _headers(); then features of whole payloads, as read back."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = _ranges(*pyarrow.fs.FileSystem.from_uri(folder))
+        read, schema = _ranges(*pyarrow.fs.FileSystem.from_uri(folder)), _arrow(FEATURES)
         for batch in rows:
+            heads, described = _described(read, batch)
             out: list[tuple] = []
-            for digest, shard, offset, length, width, height, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for (width, height, *_), digest, shard, offset, length in zip(heads, *(c.to_pylist() for c in batch.columns[:4]), strict=True):
                 data = read(shard, offset, length)
                 payload = decode_png(data)
                 sha = hashlib.sha256(payload).hexdigest()
                 if sha != digest or len(payload) != width * height:
                     raise ValueError(f"{shard} at {offset}: the payload is not what its digest or header says")
                 out.append((len(payload), sha, zlib.crc32(payload[-16:]), hashlib.sha256(data).hexdigest(), feature(payload, width)))
-            schema = _arrow(FEATURES)
             columns = zip(*out, strict=True) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[7:], strict=True))], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *described, *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[7:], strict=True))], schema=schema)
 
     return run
 
 
-def metadata(places: DataFrame, folder: str) -> DataFrame:
-    """Width, height and bits of each address by range reads of headers only. Readers take stretches of shards in order of
-    offset; a shard is of bounded size."""
+def _by_shard(places: DataFrame) -> DataFrame:
+    """Readers take stretches of shards in order of offset; a shard is of bounded size."""
     n = max(2, int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = places.repartitionByRange(n, "shard", "offset").sortWithinPartitions("shard", "offset").select("digest", "shard", "offset", "length")
-    return dealt.mapInArrow(_headers(folder), META)
+    return places.repartitionByRange(n, "shard", "offset").sortWithinPartitions("shard", "offset").select("digest", "shard", "offset", "length")
+
+
+def metadata(places: DataFrame, folder: str) -> DataFrame:
+    """Width, height and bits of each address by range reads of headers only."""
+    return _by_shard(places).mapInArrow(_headers(folder), META)
 
 
-def features(described: DataFrame, folder: str) -> DataFrame:
-    """metadata() rows with features of their payloads; the columns from headers stay as they are."""
-    return described.mapInArrow(_payloads(folder), FEATURES)
+def features(places: DataFrame, folder: str) -> DataFrame:
+    """The same columns from headers, and features of the payloads as read back, in one worker."""
+    return _by_shard(places).mapInArrow(_payloads(folder), FEATURES)
 
 
 def media_columns(df: DataFrame, key: str = "doc_id", text: str = "text", with_features: bool = True) -> DataFrame:
     """Every row with its digest, address and media columns."""
     stored, folder = store(df, key, text)
     places = addresses(stored)
-    columns = metadata(places, folder)
-    if with_features:
-        columns = features(columns, folder)
+    columns = (features if with_features else metadata)(places, folder)
     return stored.select("doc_id", "n_bytes", "digest").join(columns, "digest")

@@ -254,7 +254,7 @@ def test_media_headers_only(docs, tmp_path):
             f.write(b"\0" * (r.length - media.HEADER))
     assert {r.digest: (r.width, r.height, r.bits) for r in media.metadata(places, folder).collect()} == want and want
     with pytest.raises(Exception):
-        media.features(media.metadata(places, folder), folder).collect()
+        media.features(places, folder).collect()
     for payload in (media.padded(b""), media.padded(b"x" * 5000), media.padded("é".encode() * 300)):
         png = media.encode_png(payload)
         assert png[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", png[16:24]) == (192, len(payload) // 192)
