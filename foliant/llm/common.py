@@ -48,7 +48,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/foliant/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/foliant/{spark.sparkContext.applicationId}/llm/{tag}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's scratch tables and tar shards. Results that read them must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/foliant/{spark.sparkContext.applicationId}/llm")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:

@@ -525,3 +525,11 @@ def test_preferences_brute_force(spark):
             k = 1 if b is None else next((j for j, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
             want.add((pair[0], pair[1] if b is not None else None, k, shown(a[:k]), shown(a[k:]), None if b is None else shown(b[k:]), mask(a[k:]), None if b is None else mask(b[k:])))
     assert {tuple(r) for r in preferences.preference_pairs(df).collect()} == want
+
+
+def test_scratch_is_released(spark):
+    from foliant.llm import common
+
+    assert common.materialise(spark.range(5), "x").count() == 5
+    common.release(spark)
+    assert common.materialise(spark.range(3), "x").count() == 3
