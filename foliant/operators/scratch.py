@@ -22,10 +22,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def folder(spark: SparkSession) -> str:
+    """Where this application's scratch tables are."""
+    return f"{shared_dir(spark)}/foliant/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's scratch tables. Results that read them must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, tag: str = "step") -> DataFrame:
     """df written down and read back, so that iterations do not grow the plan and lost executors lose nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/foliant/{tag}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -13,7 +13,7 @@ from foliant.functions import names, scores
 from foliant.functions import text as t
 from foliant.functions.vectors import cosine
 from foliant.operators import families, graph, relational, search, store, vectors
-from foliant.operators.scratch import cut, shared_dir
+from foliant.operators.scratch import cut, folder
 from foliant.plans import corpus
 from foliant.plans.corpus import ACTIVE, files, hashes, sql
 from foliant.plans.galaxy import _OWN, _TOPICS, _members, _similar, n32_cluster_graph, topic_terms
@@ -27,7 +27,7 @@ from foliant.sources import sinks
 
 
 def _path(spark, tag: str) -> str:
-    return f"{shared_dir(spark)}/foliant/{tag}-{uuid.uuid4().hex}"
+    return f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 # --- sinks ----------------------------------------------------------------------------------------------

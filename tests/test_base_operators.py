@@ -238,3 +238,60 @@ def test_compound_messages():
     loop[-512 + 64 : -512 + 68] = struct.pack("<I", 16)  # the directory's sector follows itself
     with pytest.raises(ValueError):
         compound.streams(bytes(loop))
+
+
+def test_sinks(spark, tmp_path):
+    from foliant.sources import sinks
+
+    rows = spark.createDataFrame([(i, f"n{i}<b>") for i in range(9)], "id long, name string")
+    path = str(tmp_path / "runs")
+    for run, n in (("a", 9), ("b", 2), ("a", 4)):
+        sinks.save_run(rows.limit(n), path, run)
+    assert [sinks.read_run(spark, path, r).count() for r in "ab"] == [4, 2]
+    uri = f"file://{tmp_path}/report"
+    parts = [sinks.section("S<1>", rows, ["id"])]
+    manifest = sinks.write_report("T&", parts, uri)
+    page = (tmp_path / "report" / "report.html").read_text()
+    assert "n0&lt;b&gt;" in page and "S&lt;1&gt; (9)" in page and "T&amp;" in page and sinks.verify_report(uri) == []
+    assert manifest["fingerprint"] == sinks.write_report("T&", [sinks.section("S<1>", rows.repartition(3), ["id"])], uri)["fingerprint"]
+    (tmp_path / "report" / "report.json").write_text("{}")
+    assert sinks.verify_report(uri) == ["report.json"]
+    sinks.backup({"rows": rows, "none": rows.limit(0)}, str(tmp_path / "backup"))
+    assert {r.name: (r.n, r.ok) for r in sinks.verify_backup(spark, str(tmp_path / "backup")).collect()} == {"rows": (9, True), "none": (0, True)}
+    rows.limit(8).write.mode("overwrite").parquet(str(tmp_path / "backup" / "rows"))
+    with pytest.raises(ValueError):
+        sinks.restore(spark, str(tmp_path / "backup"), "rows")
+    assert sinks.restore(spark, str(tmp_path / "backup"), "none").count() == 0
+
+
+def test_parameters():
+    from foliant.functions import validation as v
+
+    v.SearchParameters("x", 1)
+    v.SemanticParameters("x", 5, 0.0)
+    for wrong in (lambda: v.SearchParameters("  "), lambda: v.SearchParameters("x" * 1001), lambda: v.SearchParameters(limit=0), lambda: v.SearchParameters(limit=10_001), lambda: v.SearchParameters(text_weight=1.1), lambda: v.SemanticParameters("x", threshold=-0.1)):
+        with pytest.raises(ValueError):
+            wrong()
+    assert v.described_scope("prefix", prefix="/home/a/b/", limit=None) == {"kind": "prefix", "prefix": "<redacted>/b"}
+
+
+def test_jobs(spark, tmp_path):
+    from foliant import cli
+
+    tables = "/root/testdata/sf0.001"
+    if not __import__("os").path.isdir(tables):
+        pytest.skip("no test tables")
+    for mode in ("lexical", "semantic", "rerank"):
+        got = cli.searched(spark, tables, '"of the" re', mode, 5, 2)
+        assert got.columns == ["id", "score"] and 0 < got.count() <= 5
+    counts = cli.built(spark, tables, "hashes", str(tmp_path))
+    assert list(counts) == ["hashes", "duplicates", "near_duplicates"] and counts["hashes"] > 0
+
+
+def test_scratch_is_released(spark):
+    held = scratch.cut(spark.range(5))
+    assert held.count() == 5
+    scratch.release(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(scratch.folder(spark))
+    assert scratch.cut(spark.range(3)).count() == 3
