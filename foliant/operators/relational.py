@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.operators.scratch import in_order
+
 
 def size_ranges(df: DataFrame, size: str, bounds: Sequence[int]) -> DataFrame:
     """Counts of half-open ranges between bounds, the last one open; ranges without rows do not appear."""
@@ -74,7 +76,28 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str, compare: Sequen
 
 
 def percentile_by_index(df: DataFrame, by: str, value: str, points: dict[str, float]) -> DataFrame:
-    """Percentiles as the value at index int(n * p) of the sorted values; by rank, without gathering a group."""
-    ranked = df.select(by, value, (F.row_number().over(Window.partitionBy(by).orderBy(value)) - 1).alias("at"), F.count("*").over(Window.partitionBy(by)).alias("n"))
-    index = lambda p: F.least(F.floor(F.col("n") * F.lit(p)), F.col("n") - 1)
-    return ranked.groupBy(by).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("at") == index(p), F.col(value))).alias(name) for name, p in points.items()])
+    """Percentiles as the value at index int(n * p) of the sorted values. Rows are sorted in ranges over all groups, so a group of
+    any size is dealt over tasks; a group's first place and size, a row a group, tell which places are asked for."""
+    at = in_order(df.select(by, value), [F.col(by), F.col(value)])
+    groups = at.groupBy(by).agg(F.count("*").alias("n"), F.min("place").alias("start"))
+    index = lambda p: F.col("start") + F.least(F.floor(F.col("n") * F.lit(p)), F.col("n") - 1)
+    wanted = groups.select("n", F.explode(F.array(*[F.struct(F.lit(name).alias("point"), index(p).alias("place")) for name, p in points.items()])).alias("w"))
+    found = at.join(wanted.select("n", "w.point", "w.place"), "place")
+    return found.groupBy(by).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("point") == name, F.col(value))).alias(name) for name in points])
+
+
+#: A table is broadcast only if it has at most so many rows of a few numbers or words.
+BROADCAST_ROWS = 500_000
+
+
+def looked_up(df: DataFrame, table: DataFrame, on: str) -> DataFrame:
+    """df joined with a table of one row a key: broadcast if it is small, so that frequent keys need no shuffle; else the keys of df
+    are dealt over 16 places and the table is repeated for each."""
+    from foliant.operators.scratch import cut
+
+    table = cut(table, "lookup")
+    if table.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(table), on)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(16)).cast("int"))
+    each = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    return salted.join(each, [on, "_salt"]).drop("_salt")

@@ -22,8 +22,8 @@ def nearest(df: DataFrame, probe: DataFrame, id_: str, vector: str, k: int) -> D
 def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
     """(label, size, centroid): sums by dimension, combined before the shuffle."""
     parts = df.select(label, F.posexplode(vector).alias("dim", "x")).groupBy(label, "dim").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))
-    rows = parts.groupBy(label).agg(F.max("n").alias("size"), F.sort_array(F.collect_list(F.struct("dim", "x"))).alias("c"))  # a row a dimension
-    return rows.select(label, "size", F.col("c.x").alias("centroid"))
+    rows = parts.groupBy(label).agg(F.max("n").alias("size"), F.sort_array(F.collect_list(F.struct("dim", "x"))).alias("_parts"))  # a row a dimension
+    return rows.select(label, "size", F.col("_parts.x").alias("centroid"))
 
 
 def cohesion(df: DataFrame, label: str, vector: str) -> DataFrame:
@@ -32,11 +32,21 @@ def cohesion(df: DataFrame, label: str, vector: str) -> DataFrame:
     return both.groupBy(label).agg(F.count("*").alias("size"), F.round(F.avg(cosine(F.col(vector), F.col("centroid"))), 5).alias("cohesion"))
 
 
+#: Centres are broadcast only if so many bytes hold them.
+CENTRE_BYTES = 48 << 20
+
+
 def assign(df: DataFrame, centres: DataFrame, id_: str, vector: str, label: str) -> DataFrame:
-    """The most similar centroid of each row; ties by label. centres: a bounded number of rows."""
+    """(id, near): the most similar centroid of each row; ties by label. centres: (label, centroid), broadcast if they are small,
+    else compared block by block, which needs integer identifiers and labels."""
+    n, dims = centres.agg(F.count("*"), F.max(F.size("centroid"))).first()
+    if n * (dims or 0) * 8 > CENTRE_BYTES:
+        probes = df.select((F.col(id_) * 2).alias("id"), F.col(vector).alias("v"))  # even ones; centres are odd, so no two are equal
+        among = centres.select((F.col(label) * 2 + 1).cast("long").alias("id"), F.col("centroid").cast(dict(df.dtypes)[vector]).alias("v"))
+        best = nearest_of_all(probes, "id", "v", dims, 1, among)
+        return best.select((F.col("id") / 2).cast("long").alias(id_), ((F.col("other") - 1) / 2).cast("long").alias("near"))
     pairs = df.select(id_, vector).crossJoin(F.broadcast(centres.select(F.col(label).alias("near"), "centroid")))
-    best = pairs.groupBy(id_).agg(F.max_by(F.col("near"), F.struct(F.round(cosine(F.col(vector), F.col("centroid")), 5), -F.col("near"))).alias("near"))
-    return best
+    return pairs.groupBy(id_).agg(F.max_by(F.col("near"), F.struct(F.round(cosine(F.col(vector), F.col("centroid")), 5), -F.col("near"))).alias("near"))
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:

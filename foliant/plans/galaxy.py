@@ -174,7 +174,7 @@ def topic_terms(spark, d):
     words = counts.groupBy("cluster").agg(F.sum("tf").alias("words"))
     mean = words.agg(F.greatest(F.sum("words") / F.count("*"), F.lit(1.0)).alias("mean"))  # one row
     every = counts.groupBy("term").agg(F.sum("tf").alias("f"))
-    rows = counts.join(F.broadcast(words), "cluster").join(every, "term").crossJoin(F.broadcast(mean))
+    rows = relational.looked_up(counts.join(F.broadcast(words), "cluster"), every, "term").crossJoin(F.broadcast(mean))
     score = F.round(F.col("tf") / F.col("words") * F.log(1 + F.col("mean") / F.col("f")), 6)
     return relational.top_per_group(rows.select("cluster", "term", score.alias("score")), "cluster", [F.desc("score"), F.col("term")], 12)
 

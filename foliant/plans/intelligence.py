@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions import scores
 from foliant.functions import text as t
 from foliant.operators import families, relational
+from foliant.operators.scratch import cut
 from foliant.plans.queries import _TERMS, query, table, texts
 
 
@@ -43,12 +44,6 @@ def f5_last_days(spark, d):
     return days.join(F.broadcast(last), F.col("date") > F.date_sub("last", 30)).select(F.date_format("date", "yyyy-MM-dd").alias("day"), "n")
 
 
-@query("SELECT lang, count(*) FILTER (length(text) > 0) AS searchable, count(*) FILTER (text IS NULL OR length(text) = 0) AS other FROM documents GROUP BY lang")
-def f7_searchable(spark, d):
-    has = F.coalesce(F.length("text") > 0, F.lit(False))
-    return table(spark, d, "documents").groupBy("lang").agg(F.count_if(has).alias("searchable"), F.count_if(~has).alias("other"))
-
-
 _FOUND = f"""f AS (SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all(coalesce(text, ''), '{t.EMAIL}')) AS v FROM documents UNION ALL SELECT doc_id, 'ip', unnest(regexp_extract_all(coalesce(text, ''), '{t.IPV4}')) FROM documents
 UNION ALL SELECT doc_id, 'card', unnest(regexp_extract_all(coalesce(text, ''), '{t.CARD}')) FROM documents)"""
 
@@ -115,7 +110,8 @@ def j12_tfidf(spark, d):
     words = docs.select("doc_id", t.tokens(F.col("text")).alias("w"))
     counts = words.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     total = docs.agg(F.count("*").alias("docs"))  # one row
-    rows = counts.join(counts.groupBy("term").agg(F.count("*").alias("df")), "term").crossJoin(F.broadcast(total))
+    counts = cut(counts, "counts")
+    rows = relational.looked_up(counts, counts.groupBy("term").agg(F.count("*").alias("df")), "term").crossJoin(F.broadcast(total))
     score = F.round(F.col("tf") / F.col("len") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1), 6)
     return relational.top_per_group(rows.select("doc_id", "term", score.alias("score")), "doc_id", [F.col("score").desc(), F.col("term")], 10)
 

@@ -364,6 +364,15 @@ def f2_overview(spark, d):
     return ranges.unionByName(whole).unionByName(kinds).unionByName(one("recent", F.desc_nulls_last("modified_at"))).unionByName(one("largest", F.desc("size_bytes")))
 
 
+@query(sql("SELECT 'searchable' AS part, NULL AS file_type, count(*) AS files, coalesce(sum(size_bytes), 0)::BIGINT AS bytes FROM files WHERE length(content_text) > 0 UNION ALL SELECT 'other', NULL, count(*), coalesce(sum(size_bytes), 0)::BIGINT FROM files WHERE coalesce(length(content_text), 0) = 0 UNION ALL SELECT 'opportunity', file_type, count(*), sum(size_bytes)::BIGINT FROM files WHERE coalesce(length(content_text), 0) < 300 GROUP BY 2"))
+def f7_searchable(spark, d):
+    """Files with and without text, and by type those with none (here: little) that could be extracted."""
+    rows = files(spark, d).select("file_type", "size_bytes", F.coalesce(F.length("content_text"), F.lit(0)).alias("n"))
+    sums = lambda df, part: df.agg(F.count("*").alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes")).select(F.lit(part).alias("part"), F.lit(None).cast("string").alias("file_type"), "files", "bytes")
+    by = rows.filter("n < 300").groupBy("file_type").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes")).select(F.lit("opportunity").alias("part"), "file_type", "files", "bytes")
+    return sums(rows.filter("n > 0"), "searchable").unionByName(sums(rows.filter("n = 0"), "other")).unionByName(by)
+
+
 @query(sql("""WITH g AS (SELECT md5(content_text) AS h, count(*) AS n FROM files WHERE content_text IS NOT NULL GROUP BY 1)
 SELECT 'files' AS metric, NULL AS name, count(*) AS n FROM files UNION ALL SELECT 'unique', NULL, count(*) FROM g UNION ALL SELECT 'copies', NULL, coalesce(sum(n - 1), 0)::BIGINT FROM g
 UNION ALL SELECT 'year', strftime(modified_at, '%Y'), count(*) FROM files WHERE modified_at IS NOT NULL GROUP BY 2 UNION ALL SELECT 'extension', extension, count(*) FROM files GROUP BY 2 UNION ALL SELECT 'type', file_type, count(*) FROM files GROUP BY 2"""))

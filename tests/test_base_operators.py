@@ -110,6 +110,30 @@ def test_nearest_of_all(points, monkeypatch):
     assert {(r["id"], r["other"]) for r in vectors.nearest_of_all(points, "id", "v", 8, 3, few).collect()} == want
 
 
+def test_assign_by_blocks(spark, points, monkeypatch):
+    centres = vectors.centroids(points, "c", "v")
+    want = {r["id"]: r["near"] for r in vectors.assign(points, centres, "id", "v", "c").collect()}
+    monkeypatch.setattr(vectors, "CENTRE_BYTES", 0)
+    assert {r["id"]: r["near"] for r in vectors.assign(points, centres, "id", "v", "c").collect()} == want and len(want) == 60
+
+
+def test_percentiles_and_lookup(spark, monkeypatch):
+    from foliant.operators import relational
+
+    rng = random.Random(8)
+    rows = [(rng.choice("aab"), rng.randrange(50)) for _ in range(300)] + [("c", 4), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    got = {r["g"]: (r["n"], r["p50"], r["p99"]) for r in relational.percentile_by_index(df, "g", "v", {"p50": 0.5, "p99": 0.99}).collect()}
+    for g in "abc":
+        values = sorted(v for h, v in rows if h == g)
+        assert got[g] == (len(values), *(values[min(int(len(values) * p), len(values) - 1)] for p in (0.5, 0.99)))
+    table = spark.createDataFrame([("a", 1), ("b", 2)], "g string, x int")
+    want = sorted((*r, {"a": 1, "b": 2}[r[0]]) for r in rows if r[0] in "ab")
+    for most in (10, 0):
+        monkeypatch.setattr(relational, "BROADCAST_ROWS", most)
+        assert sorted(tuple(r) for r in relational.looked_up(df, table, "g").select("g", "v", "x").collect()) == want
+
+
 def test_dbscan(points):
     near = np.round(unit() @ unit().T, 5) >= 1 - 0.3
     core = near.sum(1) >= 4
