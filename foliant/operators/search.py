@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import spaced, spaced_count, spaced_size, tokens
@@ -59,12 +60,21 @@ def postings(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFram
     return words.groupBy("term", id_, "len").agg(F.count("*").alias("tf"))
 
 
+def _bucket(term: str, buckets: int) -> int:
+    return int(hashlib.md5(term.encode()).hexdigest()[:6], 16) % buckets
+
+
 def save_index(df: DataFrame, path: str, id_: str = "doc_id", text: str = "text", buckets: int = 64) -> None:
-    """Write the postings in buckets by term, so that a search reads the buckets of its terms only, and the corpus' counts."""
-    rows = postings(df, id_, text).withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets)))
-    rows.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
-    sizes = df.select(F.size(tokens(F.col(text))).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean_len"))
-    sizes.write.mode("overwrite").parquet(f"{path}/corpus")
+    """Write the postings, each with the number of documents of its term, in buckets by term, so that a search reads the buckets of
+    its terms only; and the corpus' counts."""
+    rows = cut(postings(df, id_, text), "postings")
+    each = rows.groupBy("term").agg(F.count("*").alias("df"))
+    bucket = F.conv(F.substring(F.md5("term"), 1, 6), 16, 10).cast("long") % buckets
+    rows = rows.join(each, "term").withColumn("bucket", bucket.cast("int"))
+    rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
+    words = rows.groupBy(id_).agg(F.first("len").alias("n")).agg(F.sum("n").alias("words"))
+    sizes = df.agg(F.count("*").alias("docs")).crossJoin(words)
+    sizes.select("docs", (F.coalesce("words", F.lit(0)) / F.greatest("docs", F.lit(1))).alias("mean_len")).write.mode("overwrite").parquet(f"{path}/corpus")
 
 
 def updated_index(index: DataFrame, changed: DataFrame, gone: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
@@ -73,17 +83,35 @@ def updated_index(index: DataFrame, changed: DataFrame, gone: DataFrame, id_: st
     return index.join(out, id_, "left_anti").unionByName(postings(changed, id_, text).select(index.columns))
 
 
-def search_index(spark, path: str, terms: Sequence[str], id_: str = "doc_id", buckets: int = 64) -> DataFrame:
-    """(id, score) by BM25 of documents that hold every term, from a saved index: only the buckets of the terms are read."""
+@dataclass(frozen=True)
+class Index:
+    """A saved index and the corpus' counts, which are read once."""
+
+    path: str
+    id_: str
+    buckets: int
+    docs: int
+    mean_len: float
+
+    def postings(self, spark: SparkSession, terms: Sequence[str]) -> DataFrame:
+        """Rows of some terms; sorted files and buckets leave little to read."""
+        schema = f"term string, {self.id_} long, len int, tf long, df long, bucket int"
+        rows = spark.read.schema(schema).parquet(f"{self.path}/postings")
+        return rows.filter(F.col("bucket").isin(*{_bucket(t, self.buckets) for t in terms}) & F.col("term").isin(*terms))
+
+
+def open_index(spark: SparkSession, path: str, id_: str = "doc_id", buckets: int = 64) -> Index:
+    docs, mean_len = spark.read.parquet(f"{path}/corpus").first()
+    return Index(path, id_, buckets, docs, mean_len)
+
+
+def search_index(spark: SparkSession, index: Index, terms: Sequence[str]) -> DataFrame:
+    """(id, score) by BM25 of documents that hold every term, from a saved index: one pass over the postings of the terms."""
     terms = list(dict.fromkeys(terms))
-    wanted = spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.hash("term"), F.lit(buckets)).alias("b"))
-    rows = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(*[r.b for r in wanted.collect()]) & F.col("term").isin(*terms))  # as many rows as terms
-    corpus = F.broadcast(spark.read.parquet(f"{path}/corpus"))  # one row
-    df_ = F.broadcast(rows.groupBy("term").agg(F.count("*").alias("df")))  # a row a term
-    idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
-    scored = rows.join(df_, "term").crossJoin(corpus).groupBy(id_).agg(F.count("*").alias("n"), F.sum(part).alias("score"))
-    return scored.filter(F.col("n") == len(terms)).select(id_, F.round("score", 6).alias("score"))
+    idf = F.log((index.docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(index.mean_len))))
+    scored = index.postings(spark, terms).groupBy(index.id_).agg(F.count("*").alias("n"), F.sum(part).alias("score"))
+    return scored.filter(F.col("n") == len(terms)).select(index.id_, F.round("score", 6).alias("score"))
 
 
 def bm25(df: DataFrame, terms: Sequence[str], id_: str = "doc_id", text: str = "text") -> DataFrame:

@@ -170,8 +170,9 @@ def test_saved_index(spark, tmp_path):
     rows = [(i, " ".join(rng.choice("one two three four five".split()) for _ in range(rng.randrange(12)))) for i in range(80)] + [(80, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     search.save_index(docs, str(tmp_path / "index"), buckets=8)
+    held = search.open_index(spark, str(tmp_path / "index"), buckets=8)
     for terms in (["one"], ["one", "four"], ["absent"], ["two", "two"]):
-        saved = {tuple(r) for r in search.search_index(spark, str(tmp_path / "index"), terms, buckets=8).collect()}
+        saved = {tuple(r) for r in search.search_index(spark, held, terms).collect()}
         assert saved == {tuple(r) for r in search.bm25(docs, terms).collect()}
 
 
@@ -315,6 +316,9 @@ def test_jobs(spark, tmp_path):
 def test_scratch_is_released(spark):
     held = scratch.cut(spark.range(5))
     assert held.count() == 5
+    from foliant.plans import queries
+
+    queries._indexes.clear()
     scratch.release(spark)
     with pytest.raises(Exception):
         spark.read.parquet(scratch.folder(spark))
