@@ -110,3 +110,34 @@ def test_stages(spark, tmp_path):
         assert end <= 2048
     assert len(by_sequence) <= 1.2 * sum(tokens.values()) / 2048 + 2
     assert all(tokens[i] == n * (len(vocabulary.encode(text[i], add_special_tokens=False).ids) + 1) for i, n in times.items())
+
+
+def run_all(spark, tmp_path, rows, labels):
+    spark.createDataFrame(rows, "doc_id long, text string, source string, row int, comp string, _key int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    return corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+
+def test_empty_tables(spark, tmp_path):
+    assert run_all(spark, tmp_path, [], []) == []
+
+
+def test_odd_rows_go_through(spark, tmp_path):
+    """Without labels, with repeated and null identifiers, equal rows, a null source, and columns with the stages' own names."""
+    rng = random.Random(14)
+    text = lambda n: " ".join(rng.choice(GOOD) for _ in range(n))
+    rows = [(i, text(60), "s1", i, "c", i) for i in range(10)] + [(3, text(50), None, 90, "c", 1), (None, text(40), "s1", 91, None, None), (None, text(30), "s2", 92, "c", 2)]
+    rows += [rows[0], (20, rows[1][1].upper(), "s1", 93, "c", 3), (21, None, "s2", 94, "c", 4)]
+    got = run_all(spark, tmp_path, rows, [])
+    held = Counter()
+    for r in got:
+        held[r["doc_id"]] += r["length"]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    sizes = {}
+    for i, t, *_ in rows:
+        sizes.setdefault(i, []).append(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1)
+    assert set(held) <= set(sizes) and all(n <= 2 * sum(sizes[i]) for i, n in held.items()) and 1 not in held  # row 1 is a copy of 20
+    ends = Counter()
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends[r["sequence_id"]]
+        ends[r["sequence_id"]] += r["length"]
