@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.sources import archives, containers, markup
+from foliant.sources import archives, compound, containers, markup
 from foliant.plans.queries import query, table
 
 
@@ -197,3 +197,60 @@ def a49_indexed_archives(spark, d):
     found = archives.indexed(rows, rows.filter("id % 4 = 0").select("path", "fingerprint"))
     found = found.filter("member is not null").withColumn("id", F.regexp_extract("archive", r"/f/([0-9]+)\.", 1).cast("long"))
     return found.groupBy("id").agg(F.count("*").alias("members"))
+
+
+@query(f"SELECT doc_id AS id, array_to_string(CASE WHEN doc_id % 2 = 0 THEN {_LINES} ELSE list_transform({_LINES}, lambda x: trim(x, ' ' || chr(9) || chr(13))) END, chr(10)) AS text FROM documents")
+def a11_office_dispatch(spark, d):
+    """Office files of two kinds, each by its reader."""
+    files = stored(spark, d, ".x", lambda i, t: containers.odt(_lines(t)) if i % 2 else containers.docx(_lines(t)))
+    return read_back(files.withColumn("path", F.concat(F.lit("/f/"), F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, ".docx").otherwise(".odt"))))
+
+
+@query("SELECT page_id AS id, 'one & ' || page_id || ' ' || url AS text FROM pages")
+def a13_broken_docx(spark, d):
+    """A body that does not parse is read by its text elements alone."""
+    body = lambda i, t: f"<w:document><w:p><w:t>one &amp; {i}</w:t><w:t xml:space='x'>{containers.xml(t)}</w:t>".encode()
+    return read_back(stored(spark, d, ".docx", lambda i, t: containers.zipped([("word/document.xml", body(i, t))]), "pages", "page_id", "url"))
+
+
+@query("SELECT page_id AS id, 'Subject: S' || page_id || chr(10) || 'From: a' || chr(10) || url AS text FROM pages")
+def a22_compound_messages(spark, d):
+    """Messages in compound files (a20, a22, a23): Unicode properties, else 8-bit ones."""
+    make = lambda i, t: containers.compound([("__substg1.0_0037001F", f"S{i}".encode("utf-16-le")), ("__substg1.0_0C1A001E", b"a"), ("__substg1.0_1000001F", t.encode("utf-16-le"))])
+    return read_back(stored(spark, d, ".msg", make, "pages", "page_id", "url"))
+
+
+@query("SELECT page_id AS id, page_id * 10 % 4000 AS size FROM pages")
+def a23_compound_streams(spark, d):
+    """Streams of compound files within bounds: what the one that fits holds."""
+
+    @F.pandas_udf("long")
+    def held(raw: pd.Series) -> pd.Series:
+        return pd.Series([len(compound.streams(bytes(x), most_bytes=6000)["a"].rstrip(b"\0")) for x in raw], dtype="int64")
+
+    files = stored(spark, d, ".bin", lambda i, t: containers.compound([("a", b"x" * (i * 10 % 4000)), ("b", b"y" * 4000)]), "pages", "page_id", "url")
+    return files.select("id", held("content").alias("size"))
+
+
+@query("SELECT page_id AS id, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN NULL ELSE 'a b' END AS text, CASE WHEN page_id % 3 = 1 THEN 'BadZipFile' END AS error FROM pages")
+def a34_extraction(spark, d):
+    """Files of several kinds by the reader of their extension (a26, a34); a broken one is a row with its error."""
+    files = stored(spark, d, "", lambda i, t: t.encode() if i % 3 != 2 else b"<p>a <b>b</b></p>", "pages", "page_id", "url")
+    end = F.when(F.col("id") % 3 == 0, ".txt").when(F.col("id") % 3 == 1, ".docx").otherwise(".html")
+    found = markup.extracted(files.withColumn("path", F.concat("path", end)))
+    return found.select(F.regexp_extract("path", r"/f/([0-9]+)\.", 1).cast("long").alias("id"), "text", "error")
+
+
+@query("SELECT event_id AS id, '[0]:' || chr(10) || '  a:' || chr(10) || '    b: ' || event_id || chr(10) || '[1]: ' || event_type AS text FROM events")
+def a29_nested_json(spark, d):
+    return read_back(stored(spark, d, ".json", lambda i, t: json.dumps([{"a": {"b": i}}, t]).encode(), "events", "event_id", "event_type"))
+
+
+@query("SELECT page_id AS id, unnest(['a.txt', 'b/c.txt']) AS member, unnest([octet_length(encode(url)), 3]) AS size FROM pages")
+def a41_tar_members(spark, d):
+    """Members of compressed TAR archives of three kinds."""
+    make = lambda i, t: containers.tarred([("a.txt", t.encode()), ("b/c.txt", b"xyz"), ("/abs", b"no")], ("w:gz", "w:bz2", "w:xz")[i % 3])
+    files = stored(spark, d, "", make, "pages", "page_id", "url")
+    end = F.when(F.col("id") % 3 == 0, ".tar.gz").when(F.col("id") % 3 == 1, ".tbz2").otherwise(".tar.xz")
+    found = archives.list_archives(files.withColumn("path", F.concat("path", end)))
+    return found.select(F.regexp_extract("archive", r"/f/([0-9]+)\.", 1).cast("long").alias("id"), "member", "size")

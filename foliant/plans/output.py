@@ -544,3 +544,89 @@ def a32_image_candidates(spark, d):
 @query(sql(f"SELECT count(*) AS eligible, count(DISTINCT extension) AS kinds FROM files WHERE {ACTIVE} AND size_bytes BETWEEN 1 AND 52428800 AND extension IN ('.pdf', '.docx', '.txt', '.md', '.html', '.eml') AND id NOT IN (SELECT file_id FROM queue WHERE NOT ({_RETRY}))", "queue"))
 def a35_extraction_batch(spark, d):
     return a51_eligible(spark, d).agg(F.count("*").alias("eligible"), F.countDistinct("extension").alias("kinds"))
+
+
+@query(rf"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') AS w FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM w) GROUP BY 1, 2)
+SELECT count(*) AS postings, count(DISTINCT term) AS terms, (SELECT count(*) FROM documents) AS docs FROM p""")
+def b4_bulk_index(spark, d):
+    """The index of a whole load, built once and read back."""
+    path = _path(spark, "bulk")
+    search.save_index(table(spark, d, "documents").select("doc_id", "text"), path)
+    rows = spark.read.parquet(f"{path}/postings")
+    return rows.agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms")).crossJoin(spark.read.parquet(f"{path}/corpus").select("docs"))
+
+
+@query(sql("SELECT 'hashes' AS name, count(*) AS n FROM hashes UNION ALL SELECT 'queue', count(*) FROM queue", "hashes", "queue"))
+def b26_backup(spark, d):
+    """What a backup says that it holds."""
+    path = _path(spark, "backup")
+    sinks.backup({"hashes": hashes(spark, d), "queue": corpus.queue(spark, d)}, path)
+    return spark.read.parquet(f"{path}/_sums").select("name", "n")
+
+
+@query(sql(f"WITH {_FULL} SELECT id, score FROM found JOIN files USING (id) WHERE {ACTIVE} ORDER BY score DESC, {names.RANK_SQL}, modified_at DESC NULLS LAST, id LIMIT 20"))
+def s6_served_search(spark, d):
+    """The search that is served (s1, s5, s6): twenty results of the canonical entry."""
+    from foliant.plans.retrieval import search_files
+
+    return search_files(spark, files(spark, d, True), '"of the" re', 20)
+
+
+@query(sql(f"WITH {_SIM} SELECT vec_id AS id, sim AS similarity FROM sims JOIN files ON id = vec_id WHERE {ACTIVE} ORDER BY sim DESC, vec_id LIMIT 10"))
+def s7_served_vectors(spark, d):
+    rows = _similar_to(spark, d).withColumnRenamed("vec_id", "id").join(files(spark, d).filter(store.active()).select("id"), "id", "left_semi")
+    return rows.orderBy(F.desc("sim"), "id").limit(10).select("id", F.col("sim").alias("similarity"))
+
+
+@query(sql(f"SELECT count(*) > 0 AS due, count(*) AS changes FROM files WHERE NOT ({ACTIVE}) AND id IN (SELECT vec_id FROM embeddings)"))
+def v21_sweep_due(spark, d):
+    """A sweep is due when vectors are held of files that are gone."""
+    gone = files(spark, d).filter(~store.active()).select("id").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), "id", "left_semi")
+    return gone.agg((F.count("*") > 0).alias("due"), F.count("*").alias("changes"))
+
+
+@query(sql("SELECT id, substr(sha256('other' || chr(31) || filename), 1, 24) <> substr(sha256('salt' || chr(31) || filename), 1, 24) AS differs FROM files"))
+def v53_salt(spark, d):
+    """The salt is a parameter: another one gives other fingerprints."""
+    print_ = lambda salt: F.substring(F.sha2(F.concat(F.lit(salt + "\x1f"), "filename"), 256), 1, 24)
+    return files(spark, d).select("id", (print_("other") != print_("salt")).alias("differs"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'travel' WHEN max(quality) = 1 THEN 'work_career' ELSE 'media' END AS category FROM labels GROUP BY 1")
+def v55_set_override(spark, d):
+    """Decisions after new ones were made for some documents."""
+    old = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("q")).select("doc_id", F.when(F.col("q") == 1, "work_career").otherwise("media").alias("category"))
+    return relational.upsert(old, old.filter("doc_id % 5 = 0").withColumn("category", F.lit("travel")), "doc_id")
+
+
+@query(sql("SELECT id, CASE WHEN id % 6 = 1 THEN 'xx' ELSE lang END AS lang FROM files"))
+def v60_set_language(spark, d):
+    old = files(spark, d).select("id", "lang")
+    return relational.upsert(old, old.filter("id % 6 = 1").withColumn("lang", F.lit("xx")), "id")
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)")
+def v66_removed_rows(spark, d):
+    gone = table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("vec_id"))
+    return table(spark, d, "embeddings").select("vec_id").join(gone, "vec_id", "left_anti")
+
+
+@query("SELECT vec_id, vec_id IN (2, 3, 5, 7, 11) AS refreshed FROM embeddings")
+def v67_refreshed_list(spark, d):
+    """An explicit list of documents is embedded again, the others stay."""
+    rows = table(spark, d, "embeddings").select("vec_id")
+    listed = spark.createDataFrame([(i,) for i in (2, 3, 5, 7, 11)], "vec_id long").withColumn("refreshed", F.lit(True))
+    return rows.join(F.broadcast(listed), "vec_id", "left").select("vec_id", F.coalesce("refreshed", F.lit(False)).alias("refreshed"))
+
+
+@query(sql("SELECT lang AS name, sha256('{\"language\":\"' || lang || '\"}') AS fingerprint, count(*) AS found FROM files WHERE lang IS NOT NULL GROUP BY 1"))
+def v88_saved_queries(spark, d):
+    """Saved queries (one a language) with the fingerprint of their JSON and what they find now."""
+    rows = files(spark, d).filter("lang is not null").groupBy(F.col("lang").alias("name")).agg(F.count("*").alias("found"))
+    return rows.select("name", F.sha2(F.to_json(F.struct(F.col("name").alias("language"))), 256).alias("fingerprint"), "found")
+
+
+@query("SELECT o_orderpriority AS kind, count(*) AS definitions, min(o_orderkey) AS first FROM orders GROUP BY 1")
+def v89_definitions(spark, d):
+    """Report definitions (orders) by kind."""
+    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("kind")).agg(F.count("*").alias("definitions"), F.min("o_orderkey").alias("first"))

@@ -4,12 +4,15 @@ read; used for exports and to hold the readers against."""
 from __future__ import annotations
 
 import io
+import struct
 import tarfile
 import zipfile
 from collections.abc import Sequence
 from email.message import EmailMessage
 from xml.sax.saxutils import escape
 
+from foliant.sources.compound import SIGNATURE
+
 
 _CONTROL = {c: " " for c in (*range(9), 11, 12, *range(14, 32))}
 
@@ -78,3 +81,33 @@ def message(subject: str, sender: str, body: str, attachments: Sequence[tuple[st
             out.make_mixed()
         out.attach(part)
     return out.as_bytes()
+
+
+def compound(entries: Sequence[tuple[str, bytes]]) -> bytes:
+    """A compound file of a few streams, each at least 4,096 bytes so that all lie in regular sectors; up to some sixty kilobytes."""
+    sectors, names = [], [("Root Entry", 5, 0xFFFFFFFE, 0)]
+    for name, data in entries:
+        data = data.ljust(4096, b"\0")
+        names.append((name, 2, len(sectors), len(data)))
+        sectors += [data[i : i + 512] for i in range(0, len(data), 512)]
+    directory = b""
+    for i, (name, kind, start, size) in enumerate(names):
+        raw = name.encode("utf-16-le")
+        right = i + 1 if 0 < i < len(names) - 1 else 0xFFFFFFFF
+        child = 1 if i == 0 and len(names) > 1 else 0xFFFFFFFF
+        directory += raw.ljust(64, b"\0") + struct.pack("<HBBIII", len(raw) + 2, kind, 1, 0xFFFFFFFF, right, child) + b"\0" * 36 + struct.pack("<IQ", start, size)
+    directory = directory.ljust(-(-len(directory) // 512) * 512, b"\0")
+    first = len(sectors)
+    sectors += [directory[i : i + 512] for i in range(0, len(directory), 512)]
+    follow = [0xFFFFFFFF] * 128
+    for _, kind, start, size in names:
+        if kind == 2:
+            for k in range(size // 512):
+                follow[start + k] = start + k + 1 if k < size // 512 - 1 else 0xFFFFFFFE
+    for k in range(first, len(sectors)):
+        follow[k] = k + 1 if k < len(sectors) - 1 else 0xFFFFFFFE
+    fat = len(sectors)
+    follow[fat] = 0xFFFFFFFD
+    sectors.append(struct.pack("<128I", *follow))
+    head = SIGNATURE + b"\0" * 16 + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + b"\0" * 6 + struct.pack("<IIIIIIIII", 0, 1, first, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0)
+    return head + struct.pack("<109I", fat, *[0xFFFFFFFF] * 108) + b"".join(sectors)

@@ -224,38 +224,8 @@ def test_nested_archives():
     assert archives.members("n.xz", lzma.compress(b"x" * 9)[:20])[1] == "CORRUPT_ARCHIVE"
 
 
-def compound_file(entries):
-    """A compound file with one sector a stream, all in regular sectors."""
-    sectors, names = [], [("Root Entry", 5, 0xFFFFFFFE, 0)]
-    for name, data in entries:
-        data = data.ljust(4096, b"\0")
-        names.append((name, 2, len(sectors), len(data)))
-        sectors += [data[i : i + 512] for i in range(0, len(data), 512)]
-    directory = b""
-    for i, (name, kind, start, size) in enumerate(names):
-        raw = name.encode("utf-16-le")
-        right = i + 1 if 0 < i < len(names) - 1 else 0xFFFFFFFF
-        child = 1 if i == 0 and len(names) > 1 else 0xFFFFFFFF
-        directory += raw.ljust(64, b"\0") + struct.pack("<HBBIII", len(raw) + 2, kind, 1, 0xFFFFFFFF, right, child) + b"\0" * 36 + struct.pack("<IQ", start, size)
-    directory = directory.ljust(-(-len(directory) // 512) * 512, b"\0")
-    first = len(sectors)
-    sectors += [directory[i : i + 512] for i in range(0, len(directory), 512)]
-    follow = [0xFFFFFFFF] * 128
-    for _, kind, start, size in names:
-        if kind == 2:
-            for k in range(size // 512):
-                follow[start + k] = start + k + 1 if k < size // 512 - 1 else 0xFFFFFFFE
-    for k in range(first, len(sectors)):
-        follow[k] = k + 1 if k < len(sectors) - 1 else 0xFFFFFFFE
-    fat = len(sectors)
-    follow[fat] = 0xFFFFFFFD
-    sectors.append(struct.pack("<128I", *follow))
-    head = compound.SIGNATURE + b"\0" * 16 + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + b"\0" * 6 + struct.pack("<IIIIIIIII", 0, 1, first, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0)
-    return head + struct.pack("<109I", fat, *[0xFFFFFFFF] * 108) + b"".join(sectors)
-
-
 def test_compound_messages():
-    data = compound_file([("__substg1.0_0037001F", "Hello".encode("utf-16-le")), ("__substg1.0_1000001E", b"the body")])
+    data = containers.compound([("__substg1.0_0037001F", "Hello".encode("utf-16-le")), ("__substg1.0_1000001E", b"the body")])
     assert sorted(compound.streams(data)) == ["__substg1.0_0037001F", "__substg1.0_1000001E"]
     assert markup.extract("m.msg", data)[0].split("\n")[0] == "Subject: Hello" and "the body" in markup.extract("m.msg", data)[0]
     assert markup.extract("m.msg", b"no") == (None, "ValueError") and compound.streams(data, most_bytes=5000).keys() <= compound.streams(data).keys()
