@@ -11,10 +11,10 @@ from foliant.functions import vectors as v
 from foliant.operators import families, relational, store, vectors
 from foliant.operators.scratch import cut
 from foliant.plans import corpus
-from foliant.plans.corpus import ACTIVE, files, hashes, sql
+from foliant.plans.corpus import files, hashes, sql
 from foliant.plans.queries import _CENTROIDS, _COS, query, table
 from foliant.plans.retrieval import DIMS
-from foliant.plans.texts import _CATEGORIES, _FAMILIES, bucket, k19_categories, version_table
+from foliant.plans.texts import _CATEGORIES, _FAMILIES, k19_categories, version_table
 
 
 def _members(spark, d):

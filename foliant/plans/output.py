@@ -17,7 +17,7 @@ from foliant.operators import families, graph, relational, search, store, vector
 from foliant.operators.scratch import cut, folder
 from foliant.plans import corpus
 from foliant.plans.corpus import ACTIVE, files, hashes, sql
-from foliant.plans.galaxy import _OWN, _TOPICS, _members, _similar, n32_cluster_graph, topic_terms
+from foliant.plans.galaxy import _OWN, _TOPICS, _members, _similar, topic_terms
 from foliant.plans.queries import _CENTROIDS, _COS, query, table
 from foliant.plans.records import _DOSSIER, _DUP, _RETRY, _dossier, _duplicate_groups, a51_eligible, o9_ingestion_report, runs
 from foliant.plans.retrieval import _FULL, _SIM, DIMS, _full_text, m1_relations, near_edges

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from foliant.functions import text as t
 from foliant.operators import graph, relational, search, vectors
 from foliant.operators.scratch import cut, folder, spread
-from foliant.sources import markup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}

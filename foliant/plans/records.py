@@ -12,10 +12,10 @@ from foliant.functions import text as t
 from foliant.operators import lifecycle, relational, store
 from foliant.operators.scratch import cut
 from foliant.plans import corpus
-from foliant.plans.corpus import ACTIVE, NOW, STAMP, files, hashes, sql, stamp
+from foliant.plans.corpus import ACTIVE, STAMP, files, hashes, sql, stamp
 from foliant.plans.queries import query, table
 from foliant.plans.retrieval import _EVENTS, _FULL, _SIM, _full_text, _similar, _timeline
-from foliant.plans.texts import _CATEGORIES, _FAMILIES, _MARKERS, bucket, k19_categories, version_table
+from foliant.plans.texts import _CATEGORIES, _FAMILIES, bucket, k19_categories, version_table
 
 _ids = lambda df, key="file_id": df.select(F.col(key).alias("id")).distinct()
 

@@ -13,9 +13,9 @@ from foliant.functions.vectors import cosine
 from foliant.operators import families, graph, relational, search, store, vectors
 from foliant.operators.scratch import cut, in_order
 from foliant.plans import corpus
-from foliant.plans.corpus import ACTIVE, NOW, STAMP, files, hashes, sql, stamp
-from foliant.plans.queries import _BM25, _CENTROIDS, _COS, _TERMS, query, table
-from foliant.plans.texts import _CATEGORIES, _FAMILIES, _MARKERS, bucket, k19_categories, version_table
+from foliant.plans.corpus import ACTIVE, NOW, files, hashes, sql
+from foliant.plans.queries import _COS, _TERMS, query, table
+from foliant.plans.texts import _CATEGORIES, _FAMILIES, _MARKERS, k19_categories, version_table
 
 DIMS = 64
 _WORDS = r"regexp_extract_all(lower(coalesce(content_text, '')), '[\p{L}\p{N}_]+')"

@@ -10,7 +10,7 @@ from foliant.functions import text as t
 from foliant.operators import categories, families, lifecycle, relational, store
 from foliant.operators.scratch import cut
 from foliant.plans import corpus
-from foliant.plans.corpus import ACTIVE, EPOCH, STAMP, files, sql, stamp
+from foliant.plans.corpus import ACTIVE, STAMP, files, sql, stamp
 from foliant.plans.queries import query, table, texts
 from foliant.sources import markup
 
