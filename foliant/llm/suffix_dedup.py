@@ -49,6 +49,9 @@ from foliant.llm.common import _BASE_INV, materialise, mix, numbered, powers, pr
 
 SPAN, CORE = 400, 200
 
+#: Bytes of text whose samples, and whose suffixes, one exchange partition gets on average, at most: a task holds a partition.
+PART_BYTES = 256 << 20
+
 #: Ends a context; no UTF-8 text holds this byte.
 STOP = b"\xff"
 
@@ -396,7 +399,8 @@ def removed_spans(df: DataFrame, span: int = SPAN, core: int = CORE) -> DataFram
     """df: (doc long, text). Returns (doc, spans): the covered stretches of every document that has one, as blobs of
     32-bit (start, end) in bytes."""
     spark = df.sparkSession
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // PART_BYTES))
     meet = lambda rows: rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part")
     sampled = df.mapInArrow(_sampled(parts, span, core), PLACES)
     places = meet(sampled).mapInArrow(_repeated, CANDIDATES).groupBy("doc").agg(F.collect_list("places").alias("blobs"))
