@@ -293,3 +293,24 @@ def test_scratch_is_released(spark):
     with pytest.raises(Exception):
         spark.read.parquet(scratch.folder(spark))
     assert scratch.cut(spark.range(3)).count() == 3
+
+
+def test_resumable_job(spark, tmp_path):
+    from foliant.streaming import jobs
+
+    source, stop = tmp_path / "in", tmp_path / "stop"
+    for i in range(3):
+        spark.range(10 * i, 10 * i + 10).coalesce(1).write.mode("append").parquet(str(source))
+    seen = []
+
+    def work(rows):
+        seen.append(rows.count())
+        if len(seen) == 1:
+            stop.write_text("")
+        return rows.withColumn("double", F.col("id") * 2)
+
+    go = lambda: jobs.run(spark, str(source), "id long", work, str(tmp_path / "out"), str(tmp_path / "checkpoint"), str(stop))
+    assert not go() and spark.read.parquet(str(tmp_path / "out")).count() == 10
+    stop.unlink()
+    assert go() and sorted(r["double"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [2 * i for i in range(30)]
+    assert go() and seen == [10, 10, 10]
