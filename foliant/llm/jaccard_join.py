@@ -154,7 +154,7 @@ _ENTRY = np.dtype([("token", "<u4"), ("doc", "<u4"), ("pos", "<u4")])
 _DOC = np.dtype([("id", "<i8"), ("comp", "<i8"), ("members", "<i8"), ("n", "<i8")])
 
 #: Indexed tokens that an index partition holds, about.
-PART_TOKENS = 1_000_000
+PART_TOKENS = 400_000
 
 
 def _postings(frequency, size: int, parts: int, t: tuple[int, int]):
