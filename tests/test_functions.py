@@ -1,8 +1,11 @@
 import datetime
 import hashlib
 import io
+import random
+import time
 import zipfile
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from foliant.functions import names, scores
 from foliant.functions import text as t
 from foliant.operators import families, graph, relational, search, vectors
-from foliant.plans.queries import QUERIES
+from foliant.plans.queries import QUERIES, SQL
 from foliant.sources import archives, markup
 from foliant.streaming import events
 
@@ -167,3 +170,20 @@ def test_pagerank_converges(spark, tmp_path):
     want = np.linalg.solve(np.eye(len(ids)) - 0.85 * m / m.sum(0), np.full(len(ids), 0.15 / len(ids)))
     got = {r.id: r["rank"] for r in QUERIES["m21_pagerank"](spark, str(tmp_path)).collect()}
     assert sum(abs(got[i] - w) for i, w in zip(ids, want, strict=True)) < 6e-4  # the tolerance times alpha / (1 - alpha)
+
+
+def test_page_text_follows_the_sql(spark, tmp_path):
+    """Entities without a semicolon, unclosed scripts and comments, > in quotes, other white space, pages without HTML."""
+    bits = ["<!--", "-->", "<script", "</script", ">", "<style>", "</style >", "<p", "<BR/>", "<br/ >", "<li\n>", "<tr a='>'>", "&amp", "&amp;", "lt;", "&copy", "&eacute;", "&nbsp;", "\n", "\r", "\x0b", "\x0c", "\x85", " ", "a", "é", "<3", "<!x>"]
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choices(bits, k=rng.randrange(30)))) for i in range(2000)] + [(2000, None), (2001, "<title>x&amp;&amp</title>"), (2002, "<script>a"), (2003, "a<!--b")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = {r.page_id: r.body for r in QUERIES["a24_html_text"](spark, str(tmp_path)).collect()}
+    assert got == dict(db.sql(SQL["a24_html_text"]).fetchall())
+    assert [got[i] for i in range(2000, 2004)] == [None, "x&&amp", "a", "a<!--b"]
+    start = time.monotonic()
+    for mark in ("<", "<!--", "<script>", "<p ", "<style"):
+        markup.page_text(mark * 100_000)
+    assert time.monotonic() - start < 20
