@@ -86,18 +86,31 @@ def percentile_by_index(df: DataFrame, by: str, value: str, points: dict[str, fl
     return found.groupBy(by).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("point") == name, F.col(value))).alias(name) for name in points])
 
 
-#: A table is broadcast only if it has at most so many rows of a few numbers or words.
-BROADCAST_ROWS = 500_000
+#: A table is broadcast only if it has at most so many rows of a few numbers and a key, and keys of so many bytes on average.
+BROADCAST_ROWS, KEY_BYTES = 50_000, 100
 
 
-def looked_up(df: DataFrame, table: DataFrame, on: str) -> DataFrame:
-    """df joined with a table of one row a key: broadcast if it is small, so that frequent keys need no shuffle; else the keys of df
-    are dealt over 16 places and the table is repeated for each."""
+def frequent(table: DataFrame, key: str, count: str) -> tuple[DataFrame, int]:
+    """The table's rows of frequent keys, to be broadcast, and the largest count among the others. A key is frequent if it has more
+    than one in BROADCAST_ROWS of all that is counted, so there are fewer than that, and is no longer than KEY_BYTES."""
+    total = table.agg(F.sum(count)).first()[0] or 0
+    often = F.coalesce((F.col(count) * BROADCAST_ROWS > total) & (F.octet_length(F.col(key).cast("string")) <= KEY_BYTES), F.lit(False))
+    return table.filter(often), table.filter(~often).agg(F.max(count)).first()[0] or 0
+
+
+def looked_up(df: DataFrame, table: DataFrame, on: str, count: str | None = None) -> DataFrame:
+    """df joined with a table of one row a key: broadcast if it is small; else only its rows of frequent keys are, and the rows of df
+    with other keys are shuffled, of which no key has many. count: the table's column with a key's rows in df; else they are counted."""
     from foliant.operators.scratch import cut
 
     table = cut(table, "lookup")
-    if table.count() <= BROADCAST_ROWS:
+    rows, size = table.agg(F.count("*"), F.sum(F.octet_length(F.col(on).cast("string")))).first()
+    if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_ROWS * KEY_BYTES:
         return df.join(F.broadcast(table), on)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(16)).cast("int"))
-    each = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    return salted.join(each, [on, "_salt"]).drop("_salt")
+    counted = table if count else cut(df.groupBy(on).agg(F.count("*").alias("_rows")), "lookup")
+    keys = frequent(counted, on, count or "_rows")[0].select(on)
+    shuffled = table.hint("merge")  # else a table of short keys would be broadcast by its size on disk
+    if keys.isEmpty():
+        return df.join(shuffled, on)
+    often = df.join(F.broadcast(table.join(F.broadcast(keys), on, "left_semi")), on)
+    return often.unionByName(df.join(F.broadcast(keys), on, "left_anti").join(shuffled, on))

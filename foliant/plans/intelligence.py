@@ -106,14 +106,22 @@ def g11_second_difference(spark, d):
 s AS (SELECT doc_id, c.term, round(tf::DOUBLE / len(w)::DOUBLE * (ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + df)::DOUBLE) + 1), 6) AS score FROM c JOIN g USING (term) JOIN w USING (doc_id))
 SELECT doc_id, term, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS place FROM s QUALIFY place <= 10""")
 def j12_tfidf(spark, d):
-    docs = texts(spark, d)
-    words = docs.select("doc_id", t.tokens(F.col("text")).alias("w"))
+    """Frequent terms, whose counts are broadcast, have their score at once, the others bounds of it. Terms that cannot be among a
+    document's ten go before the counts of the other terms are looked up."""
+    docs = table(spark, d, "documents")
+    words = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", t.tokens(F.col("text")).alias("w"))
     counts = words.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    total = docs.agg(F.count("*").alias("docs"))  # one row
-    counts = cut(counts, "counts")
-    rows = relational.looked_up(counts, counts.groupBy("term").agg(F.count("*").alias("df")), "term").crossJoin(F.broadcast(total))
-    score = F.round(F.col("tf") / F.col("len") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1), 6)
-    return relational.top_per_group(rows.select("doc_id", "term", score.alias("score")), "doc_id", [F.col("score").desc(), F.col("term")], 10)
+    terms = cut(counts.groupBy("term").agg(F.count("*").alias("df")), "terms")
+    often, most = relational.frequent(terms, "term", "df")
+    total = F.lit(docs.count())
+    score = lambda df: F.round(F.col("tf") / F.col("len") * (F.log((1 + total) / (1 + df)) + 1), 6)
+    rows = counts.join(F.broadcast(often), "term", "left").withColumn("low", score(F.coalesce("df", F.lit(most))))
+    whole = Window.partitionBy("doc_id").orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("tenth", F.nth_value("low", 10).over(whole)).filter(F.col("tenth").isNull() | (score(F.coalesce("df", F.lit(1))) > F.col("tenth") - 2e-6))
+    rows = cut(rows.select("doc_id", "term", "tf", "len", "df"), "candidates")
+    rare = rows.filter("df is null").drop("df").join(terms.hint("merge"), "term")
+    scored = rows.filter("df is not null").unionByName(rare).select("doc_id", "term", score(F.col("df")).alias("score"))
+    return relational.top_per_group(scored, "doc_id", [F.col("score").desc(), F.col("term")], 10)
 
 
 @query("""SELECT o_orderkey, round(exp(-date_diff('day', o_orderdate::DATE, (SELECT max(o_orderdate)::DATE FROM orders)) / 365.0::DOUBLE), 8) AS recency,

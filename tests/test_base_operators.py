@@ -3,12 +3,14 @@
 import random
 import struct
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import entities
 from foliant.operators import families, graph, scratch, search, store, vectors
+from foliant.plans.queries import QUERIES, SQL
 from foliant.sources import archives, compound, containers, markup
 
 
@@ -314,3 +316,35 @@ def test_resumable_job(spark, tmp_path):
     stop.unlink()
     assert go() and sorted(r["double"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [2 * i for i in range(30)]
     assert go() and seen == [10, 10, 10]
+
+
+def test_large_lookups_broadcast_only_frequent_keys(spark, monkeypatch):
+    """100,000 terms are shuffled, as the driver holds what is broadcast; with fewer places, keys of either kind are found once."""
+    from foliant.operators import relational
+
+    many = spark.range(100_000).select(F.col("id").cast("string").alias("g"), F.col("id").alias("x"))
+    plan = relational.looked_up(many.select("g"), many, "g")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Generate" not in plan
+    rows = [("often", i) for i in range(500)] + [(f"g{i % 90}", i) for i in range(300)] + [("long" * 50, i) for i in range(200)] + [(None, 0), ("absent", 1)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    names = {g: i for i, g in enumerate(sorted({g for g, _ in rows if g and g != "absent"}))}
+    counts = {g: sum(h == g for h, _ in rows) for g in names}
+    table = spark.createDataFrame([(g, x, counts[g]) for g, x in names.items()], "g string, x int, n int")
+    want = sorted((g, v, names[g]) for g, v in rows if g in names)
+    monkeypatch.setattr(relational, "BROADCAST_ROWS", 10)
+    assert [r.g for r in relational.frequent(table, "g", "n")[0].collect()] == ["often"] and relational.frequent(table, "g", "n")[1] == 200
+    for count in (None, "n"):
+        assert sorted(tuple(r) for r in relational.looked_up(df, table, "g", count).select("g", "v", "x").collect()) == want
+
+
+@pytest.mark.parametrize("most", [0, 30, 3000])
+def test_tfidf_with_few_places(spark, monkeypatch, most):
+    """The queries against their SQL with none, few and many terms broadcast."""
+    from foliant.operators import relational
+
+    db = duckdb.connect()
+    db.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    monkeypatch.setattr(relational, "BROADCAST_ROWS", most)
+    for name in ("j12_tfidf", "j13_class_tfidf"):
+        want = db.sql(SQL[name]).fetchall()
+        assert sorted(map(tuple, QUERIES[name](spark, "/root/testdata/sf0.001").collect())) == sorted(want) and want
