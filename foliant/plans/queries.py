@@ -219,10 +219,10 @@ SELECT lang, term, score, row_number() OVER (PARTITION BY lang ORDER BY score DE
 def j13_class_tfidf(spark, d):
     terms = texts(spark, d).select("lang", F.explode(t.tokens(F.col("text"))).alias("term"))
     counts = cut(terms.groupBy("lang", "term").agg(F.count("*").alias("tf")), "counts")
-    words = counts.groupBy("lang").agg(F.sum("tf").alias("words"))
-    mean = words.agg((F.sum("words").cast("double") / F.count("*")).alias("mean"))
-    every = counts.groupBy("term").agg(F.sum("tf").alias("f"))
-    rows = relational.looked_up(counts.join(F.broadcast(words), "lang"), every, "term").crossJoin(F.broadcast(mean))
+    words = counts.groupBy("lang").agg(F.sum("tf").alias("words"), F.count("*").alias("terms"))
+    mean = words.agg((F.sum("words").cast("double") / F.count("*")).alias("mean"))  # one row
+    every = counts.groupBy("term").agg(F.sum("tf").alias("f"), F.count("*").alias("langs"))
+    rows = relational.looked_up(relational.looked_up(counts, words, "lang", "terms"), every, "term", "langs").crossJoin(F.broadcast(mean))
     score = F.round(F.col("tf") / F.col("words") * F.log(1 + F.col("mean") / F.col("f")), 6)
     return relational.top_per_group(rows.select("lang", "term", score.alias("score")), "lang", [F.col("score").desc(), F.col("term")], 10)
 
