@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,23 +57,74 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+#: Edges of one node that lie together, at most, and of one partition, on average.
+NODE_EDGES, PART_EDGES = 100_000, 3_000_000
+
+#: Steps that the next start of PageRank is drawn from.
+STEPS_BACK = 4
+
+
+def _numbered_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes (id, k), distinct edges (a, b) by k). k is a hash of the identifier under the first seed that gives no two nodes the same."""
+    ids = cut(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
+    for seed in range(100):
+        number = lambda c: F.xxhash64(F.lit(seed), F.col(c))  # noqa: B023, E731
+        nodes = ids.withColumn("k", number("id"))
+        if nodes.groupBy("k").count().filter("count > 1").isEmpty():
+            return nodes, cut(edges.select(number("a").alias("a"), number("b").alias("b")).distinct(), "edges")
+    raise ValueError("no seed tells the nodes apart")
+
+
+def _weights(dots: np.ndarray) -> list[float]:
+    """Weights, one in sum, under which the combined changes are least; dots: inner products of the changes."""
+    scale = np.sqrt(np.maximum(np.diag(dots), 1e-300))
+    found = np.linalg.lstsq(dots / np.outer(scale, scale) + 1e-12 * np.eye(len(dots)), 1 / scale, rcond=None)[0] / scale
+    return (found / found.sum()).tolist() if np.isfinite(found).all() and abs(found.sum()) > 1e-12 * np.abs(found).sum() else [0.0] * (len(dots) - 1) + [1.0]
+
+
 def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float = 1e-4) -> DataFrame:
     """(id, rank) over directed edges (a, b); what dangling nodes hold is spread evenly. Steps end when the ranks
-    change by less than the tolerance in sum; ValueError if they do not within `iterations`."""
-    edges = edges.select("a", "b").distinct()
-    edges = cut(edges.join(edges.groupBy("a").agg(F.count("*").alias("out")), "a"))
-    nodes = edges.select(F.col("a").alias("id"), F.lit(0).alias("loose")).union(edges.select("b", F.lit(1))).groupBy("id").agg(F.min("loose").alias("loose"))
-    nodes = cut(nodes)
-    n, hang = nodes.agg(F.count("*"), F.coalesce(F.sum("loose"), F.lit(0))).first()
-    ranks = cut(nodes.withColumn("rank", F.lit(1.0 / max(1, n))))
+    change by less than the tolerance in sum; ValueError if they do not within `iterations`.
+
+    A step starts from that combination of the last steps' results whose change would be least (Anderson's acceleration), which
+    leaves the test and its bound of the error as they are: a step shrinks any error to alpha of it. Once a step changes
+    more than the one before, the rest are plain. Edges are dealt by their start and sorted once and kept so; a node's edges lie at
+    several places if they are many."""
+    edges = edges.select("a", "b").filter("a is not null and b is not null")
+    nodes, edges = _numbered_edges(edges)
+    outs = edges.groupBy(F.col("a").alias("k")).agg(F.count("*").alias("out")).withColumn("places", F.ceil(F.col("out") / NODE_EDGES).cast("int"))
+    nodes = cut(nodes.join(outs, "k", "left"), "nodes")
+    n, hang, total = nodes.agg(F.count("*"), F.count("*") - F.count("out"), F.coalesce(F.sum("out"), F.lit(0))).first()
     if not n:
-        return ranks.select("id", "rank")
-    held = hang / n
-    for _ in range(iterations):
-        sent = edges.join(ranks.select(F.col("id").alias("a"), "rank"), "a").groupBy(F.col("b").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        new = F.lit((1 - alpha) / n) + alpha * (F.coalesce("got", F.lit(0.0)) + held / n)
-        ranks = cut(ranks.join(sent, "id", "left").select("id", "loose", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")))
-        moved, held = ranks.agg(F.sum("moved"), F.coalesce(F.sum(F.col("rank") * F.col("loose")), F.lit(0.0))).first()
-        if moved < tolerance:
-            return ranks.select("id", "rank")
+        return nodes.select("id", F.lit(1.0).alias("rank"))
+    hubs = F.broadcast(nodes.filter("places > 1").select(F.col("k").alias("a"), "places"))
+    parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_EDGES))
+    place = F.when(F.col("places").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("places"))).cast("int")
+    held_edges = edges.join(hubs, "a", "left").select("a", place.alias("place"), "b").repartition(parts, "a", "place").sortWithinPartitions("a", "place").persist()
+    try:
+        # x: where the step starts; g and f: results and changes of the last steps
+        state, start = nodes.withColumns({"g": F.array().cast("array<double>"), "f": F.array().cast("array<double>")}), F.lit(1.0 / n)
+        held, last, plain = hang / n, float("inf"), False
+        for step in range(iterations):
+            m = min(STEPS_BACK, step + 1)
+            state = state.withColumn("x", start)
+            sent = state.filter("out is not null").select(F.col("k").alias("a"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), (F.col("x") / F.col("out")).alias("share"))
+            got = held_edges.join(sent.hint("merge"), ["a", "place"]).groupBy(F.col("b").alias("k")).agg(F.sum("share").alias("got"))
+            new = F.lit((1 - alpha) / n) + alpha * (F.coalesce("got", F.lit(0.0)) + held / n)
+            state = state.join(got, "k", "left").withColumn("new", new)
+            back = lambda old, value: F.slice(F.concat(old, F.array(value)), -m, m)  # noqa: B023, E731
+            state = cut(state.select("id", "k", "out", "places", back("g", F.col("new")).alias("g"), back("f", F.col("new") - F.col("x")).alias("f")), "ranks")
+            g, f = ([F.col(c)[i] for i in range(m)] for c in "gf")
+            loose = F.col("out").isNull().cast("double")
+            sums = state.agg(F.sum(F.abs(f[-1])), F.min(g[-1]), *[F.sum(x * loose) for x in g], *[F.sum(f[i] * f[j]) for i in range(m) for j in range(m)]).first()
+            moved, least, helds, dots = sums[0], sums[1], sums[2 : 2 + m], np.array(sums[2 + m :]).reshape(m, m)
+            if moved < tolerance and least > 0:
+                return state.select("id", g[-1].alias("rank"))
+            plain = plain or moved > last
+            last = moved
+            weights = [0.0] * (m - 1) + [1.0] if plain else _weights(dots)
+            start = sum((F.lit(w) * x for w, x in zip(weights[1:], g[1:], strict=True)), F.lit(weights[0]) * g[0])
+            held = sum(w * h for w, h in zip(weights, helds, strict=True))
+    finally:
+        held_edges.unpersist()
     raise ValueError(f"the ranks still move by {moved} after {iterations} steps")

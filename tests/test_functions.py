@@ -187,3 +187,20 @@ def test_page_text_follows_the_sql(spark, tmp_path):
     for mark in ("<", "<!--", "<script>", "<p ", "<style"):
         markup.page_text(mark * 100_000)
     assert time.monotonic() - start < 20
+
+
+def test_pagerank_needs_few_steps(spark, monkeypatch):
+    """Two sides of unequal size, on which plain steps swing for dozens of rounds; a hub over several places, repeated edges and
+    dangling nodes, against the solution of the linear equations."""
+    rng = np.random.default_rng(7)
+    arcs = {(f"s{a}", f"p{b}") for a, b in rng.integers([4, 90], size=(250, 2))}
+    arcs |= {(b, a) for a, b in arcs} | {("hub", f"p{i}") for i in range(90)} | {("p1", "end"), ("s1", "s1")}
+    ids = sorted({x for e in arcs for x in e})
+    m = np.array([[(a, b) in arcs for a in ids] for b in ids], float)
+    m = np.where(m.sum(0) > 0, m / np.maximum(m.sum(0), 1), 1 / len(ids))
+    want = np.linalg.solve(np.eye(len(ids)) - 0.85 * m, np.full(len(ids), 0.15 / len(ids)))
+    monkeypatch.setattr(graph, "NODE_EDGES", 20)
+    got = {r.id: r["rank"] for r in graph.pagerank(spark.createDataFrame(sorted(arcs) + sorted(arcs)[:50], "a string, b string"), iterations=20).collect()}
+    assert set(got) == set(ids) and sum(got.values()) == pytest.approx(1)
+    assert sum(abs(got[i] - w) for i, w in zip(ids, want, strict=True)) < 6e-4
+    assert graph.pagerank(spark.createDataFrame([], "a string, b string")).count() == 0
